@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import base, quality, simhash
+from quarry.llm import base, decontaminate, packing, quality, simhash, substring
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,9 +19,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.first_of_each(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.cleaned(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, base.read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, packing.tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_rules),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
 ]
 
 #: SQL cannot express SimHash's components, so the stages are tested against brute force.
