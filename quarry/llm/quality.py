@@ -80,22 +80,21 @@ def dup_lines_failed(p: str = "_q_") -> Column:
 def host_rates(rows: DataFrame, host: str, failed: str) -> DataFrame:
     """(host, n_docs, n_failed, rate): the posterior mean of each host's failure rate. The prior comes from
     all hosts: its mean is the corpus rate, its weight follows from how far hosts spread beyond chance."""
-    hosts = rows.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    prior = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.sum("n_docs").cast("double").alias("n"), F.count(F.lit(1)).alias("hosts"),
-        F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("n2"), F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n_docs")).alias("f2"),
-    )
-    m = F.col("mean")
-    # sum n (p - m)^2 = within-host chance + between-host variance; each term in closed form of the sums above
-    spread = F.col("f2") - m * m * F.col("n")
-    chance = (F.col("hosts") - 1) * m * (1 - m)
-    between = F.when(F.col("n") * F.col("n") > F.col("n2"), (spread - chance) / (F.col("n") - F.col("n2") / F.col("n"))).otherwise(F.lit(0.0))
-    weight = F.when(between > 0, F.greatest(F.lit(MIN_PRIOR), F.least(F.lit(MAX_PRIOR), m * (1 - m) / between - 1))).otherwise(F.lit(MAX_PRIOR))
-    prior = prior.select(m.alias("prior_mean"), weight.alias("prior_weight"))
-    # The prior is one row by construction: broadcasting it is safe at any size.
-    return hosts.join(F.broadcast(prior)).select(
-        "host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("prior_mean") * F.col("prior_weight")) / (F.col("n_docs") + F.col("prior_weight"))).alias("rate")
-    )
+    hosts = base.materialise(rows.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed")))
+    mean, weight = prior(hosts)
+    return hosts.withColumn("rate", (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight))
+
+
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and weight of the beta prior: one row of sums over hosts, by the method of moments."""
+    n_docs, n_failed = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    k, n, f, n2, f2 = hosts.agg(F.count(F.lit(1)), F.sum(n_docs), F.sum(n_failed), F.sum(n_docs * n_docs), F.sum(n_failed * n_failed / n_docs)).first()
+    if not k:
+        return 0.0, MAX_PRIOR
+    m = f / n
+    # sum n (p - m)^2 over hosts is what chance within hosts gives and what hosts differ by
+    between = (f2 - m * m * n - (k - 1) * m * (1 - m)) / (n - n2 / n) if n * n > n2 else 0.0
+    return m, min(MAX_PRIOR, max(MIN_PRIOR, m * (1 - m) / between - 1)) if between > 0 else MAX_PRIOR
 
 
 def odds(rate: Column, p: str = "_q_") -> Column:
@@ -118,7 +117,7 @@ def judged(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
 
 
 def host_evidence(rows: DataFrame, host: str) -> DataFrame:
-    return base.materialise(host_rates(rows.select(host, (base_failed() | symbols_failed() | dup_lines_failed()).alias("_q_failed")), host, "_q_failed"))
+    return host_rates(rows.select(host, (base_failed() | symbols_failed() | dup_lines_failed()).alias("_q_failed")), host, "_q_failed")
 
 
 def score(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
