@@ -34,9 +34,9 @@ def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: st
         seen = F.concat(F.array(name), F.col("path"))
         stop = F.array_min(F.filter(F.transform(F.col("more"), lambda x, i: F.when(F.array_contains(seen, x), i)), lambda i: i.isNotNull()))
         fresh = F.when(stop.isNull(), F.col("more")).otherwise(F.slice("more", 1, stop))
-        nxt = grown.select(scope, name, F.concat("path", fresh).alias("path"), (F.size(fresh) > 0).alias("moved")).persist()
+        nxt = grown.withColumn("fresh", fresh).select(scope, name, F.concat("path", "fresh").alias("path"), F.size("fresh").alias("moved")).persist()
         rounds += 1
-        if not nxt.filter("moved").limit(1).count() or 2**rounds >= MAX_DEPTH:
+        if not nxt.filter("moved > 0").limit(1).count() or 2**rounds >= MAX_DEPTH:
             break
         now = nxt.drop("moved")
     return nxt.select(scope, name, F.coalesce(F.get("path", F.size("path") - 1), F.col(name)).alias("root"), F.size("path").alias("depth"))

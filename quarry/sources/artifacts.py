@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from quarry.functions.classfile import ClassFormatError, Header, Truncated, enclosing_class
 from quarry.functions.rules import Rule, accepts_name, tokenize
+from quarry.session import ready
 
 SCHEMA = "path string, entry string, depth int, origin string, grp string, name string, parent string, digest string, size long, status string, error string, content binary"
 # Limits and folder names.
@@ -247,5 +248,5 @@ def scan(spark: SparkSession, roots: list[str], **options: str) -> DataFrame:
     """Rows of SCHEMA. options: mode, project, output, allow, deny, content."""
     if not roots:
         raise ValueError("no libraries are registered: nothing is scanned, and no target is touched")
-    spark.dataSource.register(ArtifactSource)
+    ready(spark).dataSource.register(ArtifactSource)
     return spark.read.format("artifacts").options(roots=json.dumps(list(roots)), **options).load()
