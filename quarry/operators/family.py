@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.session import materialise
 
 #: Deeper nesting than this is taken for a cycle.
 MAX_DEPTH = 64
@@ -19,11 +20,12 @@ def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: st
     """(scope, name, root, depth) for every distinct name: parents are followed while exactly one item of that name is in the
     scope; a name that is missing, held twice, or already on the way ends the walk, and the last one reached is the root.
 
-    Pointer doubling: after k rounds a name has looked 2^k parents ahead, so the rounds are the logarithm of the depth."""
+    Pointer doubling: after k rounds a name has looked 2^k parents ahead, so the rounds are the logarithm of the depth. Each
+    round is written to the shared folder, which cuts the lineage (it would double with every round) and survives lost executors."""
     names = items.groupBy(scope, name).agg(F.count(F.lit(1)).alias("n"), F.min(parent).alias("parent"))
     single = names.filter("n = 1").select(F.col(scope).alias("s"), F.col(name).alias("unique_name"))
     step = names.join(single, (F.col(scope) == F.col("s")) & (F.col("parent") == F.col("unique_name")), "left")
-    step = step.select(scope, name, F.col("unique_name").alias("up"))
+    step = materialise(step.select(scope, name, F.col("unique_name").alias("up")))
     # path: the ancestors in order, nearest first; it stops before what would repeat.
     now = step.select(scope, name, F.when(F.col("up").isNull() | (F.col("up") == F.col(name)), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path"))
     rounds = 0
@@ -34,7 +36,8 @@ def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: st
         seen = F.concat(F.array(name), F.col("path"))
         stop = F.array_min(F.filter(F.transform(F.col("more"), lambda x, i: F.when(F.array_contains(seen, x), i)), lambda i: i.isNotNull()))
         fresh = F.when(stop.isNull(), F.col("more")).otherwise(F.slice("more", 1, stop))
-        nxt = grown.withColumn("fresh", fresh).select(scope, name, F.concat("path", "fresh").alias("path"), F.size("fresh").alias("moved")).persist()
+        nxt = grown.withColumn("fresh", fresh).select(scope, name, F.concat("path", "fresh").alias("path"), F.size("fresh").alias("moved"))
+        nxt = materialise(nxt)
         rounds += 1
         if not nxt.filter("moved > 0").limit(1).count() or 2**rounds >= MAX_DEPTH:
             break
@@ -52,7 +55,7 @@ def assigned(items: DataFrame) -> DataFrame:
 def families(items: DataFrame) -> DataFrame:
     """(scope, name, origin, grp, digest, members): one row per item that is its own root, with members array<struct<name, origin,
     digest>>, root first, then by name. Two roots that name each other each have the other as a member."""
-    rows = assigned(items)
+    rows = materialise(assigned(items).select("scope", "name", "origin", "grp", "digest", "root"))
     is_root = F.col("name") == F.col("root")
     heads = rows.filter(is_root).select("scope", "name", "origin", "grp", "digest")
     # A name held twice in a scope gives one family for each of its items; nested items follow a root that is held once.

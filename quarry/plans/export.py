@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.operators import catalog, collect, dedup, engine, family, report
 from quarry.plans import resources
 from quarry.sources import artifacts, sinks
@@ -30,14 +33,24 @@ class Result:
         return self.exported - self.partially_exported
 
 
-def _text_rows(spark: SparkSession, name: str, text: str) -> DataFrame:
-    return spark.createDataFrame([(name, bytearray(text.encode()))], "file_entry string, content binary")
+def _files(rows: DataFrame) -> DataFrame:
+    return rows.select("file_entry", "content", F.lit(None).cast("long").alias("part"))
 
 
-def _lines(rows: DataFrame, name: str, header: str, end: str, bom: str = "") -> DataFrame:
-    """One file from rows (line), sorted: reports are as long as the export has members, and one file is what is asked for."""
-    body = rows.agg(F.array_join(F.sort_array(F.collect_list(F.concat("line", F.lit(end)))), "").alias("body"))
-    return body.select(F.lit(name).alias("file_entry"), F.concat(F.lit(bom + header + end), "body").cast("binary").alias("content"))
+def _lines(rows: DataFrame, name: str, end: str = "\n", head: str = "", tail: str = "") -> DataFrame:
+    """The pieces of one file from rows (line), in order. Each task joins its own range of lines; none sees them all."""
+    spark = rows.sparkSession
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (TaskContext.get().partitionId() + 1) << 32
+        for n, batch in enumerate(batches):
+            if batch.num_rows:
+                body = "".join(x + end for x in batch.column(0).to_pylist()).encode()
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([body], pa.binary()), pa.array([at + n], pa.int64())], names=["file_entry", "content", "part"])
+
+    body = rows.select("line").sort("line").mapInArrow(join, sinks.SCHEMA)
+    ends = [(name, bytearray(head.encode()), 0), (name, bytearray(tail.encode()), 1 << 62)]
+    return body.unionByName(spark.createDataFrame(ends, sinks.SCHEMA))
 
 
 def _warnings(items: DataFrame) -> DataFrame:
@@ -59,8 +72,8 @@ def export_classes(spark: SparkSession, roots: list[str], target: str, allow: st
         counts["complete_files"] = counts["exported"]
         lines = report.provenance_lines(planned.select("file_entry", F.col("origin").alias("source")))
         preview = [r[0] for r in report.preview(_warnings(items), ["origin", "line"]).select("line").collect()]
-        summary = "".join(r[0] + "\n" for r in _warnings(items).orderBy("origin", "line").select("line").toLocalIterator()) + report.summary(counts, True)
-        files = planned.select("file_entry", "content").unionByName(_lines(lines, report.SOURCES, report.SOURCES_HEADER, "\n")).unionByName(_text_rows(spark, report.REPORT, summary))
+        files = _files(planned).unionByName(_lines(lines, report.SOURCES, head=report.SOURCES_HEADER + "\n"))
+        files = files.unionByName(_lines(_warnings(items), report.REPORT, tail=report.summary(counts, True)))
         sinks.export(files, target, format, keep_completed)
         return Result(counts["discovered"], counts["filtered"], counts["duplicates"], counts["exported"], warnings=counts["warnings"], preview=preview)
     finally:
@@ -88,12 +101,12 @@ def export_families(spark: SparkSession, roots: list[str], target: str, using: e
         written = units.join(done.filter("error is null").select("unit", "source", F.size("issues").alias("n_issues")), "unit")
         notes = _warnings(items).select("line").unionByName(done.select(F.explode(F.concat("warnings", F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array().cast("array<string>")))).alias("line")))
         preview = [r[0] for r in report.preview(notes, ["line"]).collect()]
-        summary = "".join(r[0] + "\n" for r in notes.orderBy("line").toLocalIterator()) + report.summary(counts, True)
-        files = written.select("file_entry", F.col("source").cast("binary").alias("content"))
-        files = files.unionByName(_lines(report.provenance_lines(report.provenance(written)), report.SOURCES, report.SOURCES_HEADER, "\n")).unionByName(_text_rows(spark, report.REPORT, summary))
+        files = _files(written.select("file_entry", F.col("source").cast("binary").alias("content")))
+        files = files.unionByName(_lines(report.provenance_lines(report.provenance(written)), report.SOURCES, head=report.SOURCES_HEADER + "\n"))
+        files = files.unionByName(_lines(notes, report.REPORT, tail=report.summary(counts, True)))
         if counts["failed_rows"]:
             header = ",".join(f'"{x}"' for x in report.FAILURES_HEADER)
-            files = files.unionByName(_lines(report.failure_lines(failed), report.FAILURES, header, "\r\n", "﻿"))
+            files = files.unionByName(_lines(report.failure_lines(failed), report.FAILURES, "\r\n", "\ufeff" + header + "\r\n"))
         sinks.export(files, target, format, keep_completed)
         return Result(counts["discovered"], counts["filtered"], counts["duplicates"], counts["exported"], counts["partial_files"], counts["failed_rows"], counts["warnings"], preview)
     finally:
@@ -115,23 +128,21 @@ def collect_dependencies(spark: SparkSession, project: str, library_root: DataFr
         raise ValueError("nothing to collect")
     named = dedup.suffixed(jars, "file_name", "path").persist()
     rel = F.concat("name", F.lit(".class"))
-    from quarry.functions import text
-
     files = loose.select(F.substr("path", F.lit(len(project) + 2)).alias("src"), rel.alias("rel"), text.source_root(F.col("path"), rel, project).alias("abs"), "digest", "content")
     files = files.withColumn("sroot", F.when(F.col("abs") == project, F.lit("")).otherwise(F.substr("abs", F.lit(len(project) + 2))))
     plan = collect.planned(files, os.path.basename(project)).persist()
     body = plan.join(files.select(F.col("src").alias("_s"), "content"), F.col("src") == F.col("_s"))
-    copies = body.select(F.concat("root", F.lit("/"), "rel").alias("file_entry"), "content")
+    copies = _files(body.select(F.concat("root", F.lit("/"), "rel").alias("file_entry"), "content"))
 
     @F.udf("binary")
     def whole(path: str) -> bytes:  # a file per row: nothing to vectorise
         with open(path, "rb") as f:
             return f.read()
 
-    copies = copies.unionByName(named.select(F.col("copy_name").alias("file_entry"), whole("path").alias("content")))
+    copies = copies.unionByName(_files(named.select(F.col("copy_name").alias("file_entry"), whole("path").alias("content"))))
     index = collect.conflict_index(plan)
     if not index.isEmpty():
-        copies = copies.unionByName(_lines(index.select(F.concat_ws("\t", "library_root", "class_path", "source_file").alias("line")), f"{collect.CONFLICTS}/{collect.INDEX}", "library_root\tclass_path\tsource_file", "\n"))
+        copies = copies.unionByName(_lines(index.select(F.concat_ws("\t", "library_root", "class_path", "source_file").alias("line")), f"{collect.CONFLICTS}/{collect.INDEX}", head="library_root\tclass_path\tsource_file\n"))
     sinks.export(copies, out, recreate=recreate)
     roots = collect.root_list(plan).select(F.concat(F.lit(out + "/"), "root").alias("path"), "ordinal")
     library = catalog.replaced(library_root, named.select(F.concat(F.lit(out + "/"), "copy_name").alias("path")), roots)

@@ -1,10 +1,12 @@
-"""What a session needs before Python runs on executors."""
+"""What a session needs before Python runs on executors, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -15,3 +17,31 @@ def ready(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, our own only where it is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, read by any executor, its lineage cut."""
+    spark = ready(df.sparkSession)
+    path = f"{scratch(spark)}/quarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that materialise() made and nothing reads any more."""
+    spark = df.sparkSession
+    for f in {os.path.dirname(x) for x in df.inputFiles()}:
+        if "/quarry-" in f:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

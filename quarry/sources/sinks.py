@@ -4,6 +4,9 @@ Folder: each file is written beside its place under a temporary name and then re
 nothing is overwritten; paths must stay within the root and lead through no link. ZIP: tasks stage parts, the commit makes
 the archive, exclusively, in order of entry, and removes the parts; a failure removes the archive.
 
+Rows may carry a part number: the rows of such an entry are pieces of one file, which the commit puts together in order of part, a
+piece at a time. So a report may have any number of lines, made by any number of tasks.
+
 Both are Python data source writers: Spark runs `write` on executors and `commit` or `abort` once. The target must be a
 folder that all machines see.
 """
@@ -18,12 +21,17 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-SCHEMA = "file_entry string, content binary"
+from quarry.session import ready
+
+SCHEMA = "file_entry string, content binary, part long"
 
 
 class ExportWriteError(OSError):
@@ -71,6 +79,55 @@ class Staged(WriterCommitMessage):
     count: int
 
 
+Piece = tuple[str, int, str, int, int]  # entry, part, the staged file, offset and length of the deflated bytes
+
+
+class Stage:
+    """Staged bytes: a file for each task of (name length, name, part, content length, deflated content) records."""
+
+    HEAD = struct.Struct("<IqQ")
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def write(self, rows: Iterator[Row]) -> Staged:
+        place, n = f"{self.folder}/{uuid.uuid4().hex}", 0
+        os.makedirs(self.folder, exist_ok=True)
+        with open(place, "xb") as f:
+            for row in rows:
+                if not safe(row["file_entry"]):
+                    raise ExportWriteError(f"unsafe entry {row['file_entry']!r}")
+                name, body = row["file_entry"].encode(), zlib.compress(bytes(row["content"]), 1)
+                f.write(self.HEAD.pack(len(name), -1 if row["part"] is None else row["part"], len(body)) + name + body)
+                n += 1
+        return Staged(place, n)
+
+    def entries(self, messages: list[WriterCommitMessage | None]) -> Iterator[tuple[str, list[Piece]]]:
+        """Entries in order, each with its pieces. Only the index is held; an entry of one row may not come twice."""
+        index: list[Piece] = []
+        for m in messages:
+            if m is not None:
+                with open(m.place, "rb") as f:
+                    while head := f.read(self.HEAD.size):
+                        n_name, part, n_body = self.HEAD.unpack(head)
+                        index.append((f.read(n_name).decode(), part, m.place, f.tell(), n_body))
+                        f.seek(n_body, 1)
+        for name, pieces in groupby(sorted(index), key=itemgetter(0)):
+            pieces = list(pieces)
+            if len(pieces) > 1 and (pieces[0][1] < 0 or len({p[1] for p in pieces}) < len(pieces)):
+                raise ExportWriteError(f"{name} twice")
+            yield name, pieces
+
+    @staticmethod
+    def content(piece: Piece) -> bytes:
+        with open(piece[2], "rb") as f:
+            f.seek(piece[3])
+            return zlib.decompress(f.read(piece[4]))
+
+    def drop(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
 class FolderWriter(DataSourceWriter):
     def __init__(self, root: str, keep: bool, overwrite: bool) -> None:
         self.root, self.keep = os.path.normpath(os.path.abspath(root)), keep
@@ -79,66 +136,57 @@ class FolderWriter(DataSourceWriter):
         if os.path.lexists(self.root):
             raise ExportWriteError(f"{self.root} exists")
         os.makedirs(self.root)
+        self.stage = Stage(f"{self.root}.{uuid.uuid4().hex}.parts")
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        n = 0
-        for row in iterator:
-            put(self.root, row["file_entry"], bytes(row["content"]))
-            n += 1
-        return Staged(self.root, n)
+        def pieces() -> Iterator[Row]:
+            for row in iterator:
+                if row["part"] is None:
+                    put(self.root, row["file_entry"], bytes(row["content"]))
+                else:
+                    yield row
+
+        return self.stage.write(pieces())
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        pass
+        try:
+            for name, pieces in self.stage.entries(messages):
+                path = target_of(self.root, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "xb") as f:
+                    for p in pieces:
+                        f.write(self.stage.content(p))
+        finally:
+            self.stage.drop()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.stage.drop()
         if not self.keep:
             shutil.rmtree(self.root, ignore_errors=True)
 
 
 class ZipWriter(DataSourceWriter):
-    """A part is a file of (name length, name, content length, deflated content) records."""
-
     def __init__(self, path: str) -> None:
         self.path = os.path.abspath(path)
         if os.path.lexists(self.path):
             raise ExportWriteError(f"{self.path} exists")
-        self.parts = f"{self.path}.{uuid.uuid4().hex}.parts"
-        os.makedirs(self.parts)
+        self.stage = Stage(f"{self.path}.{uuid.uuid4().hex}.parts")
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        place, n = f"{self.parts}/{uuid.uuid4().hex}", 0
-        with open(place, "xb") as f:
-            for row in iterator:
-                if not safe(row["file_entry"]):
-                    raise ExportWriteError(f"unsafe entry {row['file_entry']!r}")
-                name, body = row["file_entry"].encode(), zlib.compress(bytes(row["content"]), 1)
-                f.write(struct.pack("<IQ", len(name), len(body)) + name + body)
-                n += 1
-        return Staged(place, n)
+        return self.stage.write(iterator)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        index = []
-        for m in messages:
-            if m is not None:
-                with open(m.place, "rb") as f:
-                    while head := f.read(12):
-                        n_name, n_body = struct.unpack("<IQ", head)
-                        name = f.read(n_name).decode()
-                        index.append((name, m.place, f.tell(), n_body))
-                        f.seek(n_body, 1)
         made = False
         try:
             with open(self.path, "xb") as out:
                 made = True
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-                    last = None
-                    for name, place, at, n in sorted(index):
-                        if name == last:
-                            raise ExportWriteError(f"{name} twice")
-                        last = name
-                        with open(place, "rb") as f:
-                            f.seek(at)
-                            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), zlib.decompress(f.read(n)), zipfile.ZIP_DEFLATED, 1)
+                    for name, pieces in self.stage.entries(messages):
+                        info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                        info.compress_type = zipfile.ZIP_DEFLATED
+                        with z.open(info, "w", force_zip64=True) as f:
+                            for p in pieces:
+                                f.write(self.stage.content(p))
         except FileExistsError as e:
             raise ExportWriteError(f"{self.path} exists") from e
         except BaseException:
@@ -146,10 +194,10 @@ class ZipWriter(DataSourceWriter):
                 os.unlink(self.path)
             raise
         finally:
-            shutil.rmtree(self.parts, ignore_errors=True)
+            self.stage.drop()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.parts, ignore_errors=True)
+        self.stage.drop()
 
 
 class ExportSink(DataSource):
@@ -168,12 +216,13 @@ class ExportSink(DataSource):
 
 
 def export(rows: DataFrame, target: str, format: str = "directory", keep_completed: bool = False, recreate: bool = False) -> None:
-    """Write rows (file_entry, content). keep_completed: files that are whole stay when the job fails. recreate: an existing
+    """Write rows (file_entry, content, and perhaps part). keep_completed: files that are whole stay when the job fails. recreate: an existing
     folder is deleted first, which must be asked for."""
     spark: SparkSession = rows.sparkSession
-    spark.dataSource.register(ExportSink)
+    ready(spark).dataSource.register(ExportSink)
     o = {"target": target, "format": format, "keep_completed": str(keep_completed), "recreate": str(recreate)}
-    rows.select("file_entry", "content").write.format("artifact_export").mode("append").options(**o).save()
+    part = F.col("part") if "part" in rows.columns else F.lit(None).cast("long").alias("part")
+    rows.select("file_entry", "content", part).write.format("artifact_export").mode("append").options(**o).save()
 
 
 def next_free(parent: str, name: str, extension: str = "") -> str:

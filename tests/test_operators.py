@@ -142,7 +142,7 @@ def test_collecting_dependencies(spark, tmp_path):
     assert attached.count() == 3 and library.filter("library = 'all-in-one'").count() == 5
     with pytest.raises(FileExistsError):
         export.collect_dependencies(spark, str(p), roots, attached, mods)
-    assert sorted(r.path for r in catalog.registered(library, attached).collect())[0] == "/x"
+    assert "/x" in {r.path for r in catalog.registered(library, attached).collect()}
 
 
 def test_incremental_catalogue_keeps_first_arrivals(spark, tmp_path):
