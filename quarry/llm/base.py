@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ready
+from quarry.session import drop, materialise, ready, scratch
+
+__all__ = ["bounded", "crc32", "drop", "materialise", "partitions", "read", "ready", "scratch"]
 
 #: Rows of a side may be broadcast when its measured size is at most so many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -19,34 +17,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, our own only where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, read by any executor, its lineage cut."""
-    spark = ready(df.sparkSession)
-    path = f"{scratch(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that materialise() made and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if "/quarry-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,9 +20,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +32,79 @@ from pyspark.sql import functions as F
 from quarry.llm import base
 
 WINDOW, END = 2048, 1
-#: Ids of so many different words are remembered by a worker.
-WORDS_KEPT = 1 << 18
+#: So many texts are encoded at a time, and the ids of so many different words are remembered by a worker.
+TEXTS, WORDS_KEPT = 2048, 1 << 19
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Texts with these are not parted at white space first: Python's str.split() takes them for space, the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: A capital sigma's small form depends on its place in Python, not in the tokenizer.
+_ODD = re.compile("[\x1c-\x1f\u03a3]")
+_PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer whose pre-tokens never span white space: words are encoded once and remembered.
+    """Ids of texts under a tokenizer whose pre-tokens never span white space.
 
-    The tokenizer's own normalizer (NFC, white space, lower case) and pre-tokenizer work within words, so the ids of
-    a text are those of its words in order."""
+    The tokenizer's own normalizer (NFC, white space, lower case) and pre-tokenizer work within words, so the ids of a text are
+    those of its words in order. The distinct words of a batch of texts are found by Arrow's dictionary encoding, each is
+    encoded once, and the texts' ids are gathered. A word of letters with punctuation behind is two pre-tokens; letters
+    that are in lower case already go straight to the tokenizer's model, and are remembered between batches."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = Tokenizer(self.whole.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kept, self.known = kept, {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [None if _ODD.search(t) else t.split() for t in texts]
+    def plain(self, text: str) -> str | None:
+        """In lower case, or None if a text has to be encoded whole."""
+        low = text.lower()
+        if text.isascii():
+            return None if _ODD.search(text) else low
+        return low if is_normalized("NFC", text) and is_normalized("NFC", low) and not _ODD.search(text) else None
+
+    def learn(self, new: list[str], letters: bool) -> None:
+        """letters: new words are letters in lower case, so each is one pre-token and the encoding tells which ids are whose."""
+        if not letters:
+            for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        elif new:
+            e = self.letters.encode(" ".join(new), add_special_tokens=False)
+            raw, owner = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
+            ends = (4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist() + [len(raw)]
+            for w, a, b in zip(new, [0, *ends], ends, strict=False):
+                self.known[w] = raw[a:b]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        if len(self.known) + len(words) > self.kept:
+            self.known.clear()
         known = self.known
-        new = list({w for words in plain if words for w in words if w not in known})
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = list({w for words in plain if words for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [
-            np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4") if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
-            for t, words in zip(texts, plain, strict=True)
-        ]
+        known[""] = b""
+        cores = [w if w.isalpha() else w.rstrip(_PUNCTUATION) for w in words]
+        sound = [c.isalpha() for c in cores]
+        self.learn(list({c for c, ok in zip(cores, sound, strict=True) if ok and c not in known}), True)
+        tails = [w[len(c) :] if ok else w for w, c, ok in zip(words, cores, sound, strict=True)]
+        self.learn(list({t for t in tails if t not in known}), False)
+        return [known[c] + known[t] if ok else known[t] for c, t, ok in zip(cores, tails, sound, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        low = [self.plain(t) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array([x or "" for x in low], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids = self.words(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.fromiter(map(len, ids), dtype="int64", count=len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[at] if len(at) else np.zeros(0, dtype="int64")
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        gathered = flat[np.repeat(begins[at] - (ends - size), size) + np.arange(total)] if total else flat[:0]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") if x is None else gathered[a:b] for t, x, a, b in zip(texts, low, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -154,8 +196,8 @@ def packed(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         def lengths() -> Iterator[tuple[int, int]]:
             at = 0
             for batch in batches:
-                for k in range(0, batch.num_rows, 512):
-                    part = batch.slice(k, 512)
+                for k in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(k, TEXTS)
                     for key_, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                         ids[at] = np.append(got, np.uint32(END)).astype("<u4").tobytes()
                         keys[at], sums[at] = key_, 0
