@@ -8,7 +8,8 @@ the hit are verified, and verified windows that overlap make the maximal exact r
 How it scales: documents are dealt once into chunks, a bucketed table. A chunk sends the distinct hashes of its runs, sorted,
 delta coded and compressed (about 4 bytes a word), to the owners of hash ranges; each hash goes once from a chunk, however often
 it occurs there, so a passage that stands in a third of all documents costs its owner one entry per chunk. Owners answer each
-chunk with the hashes that are hit. The same exchange then settles the windows near hits. Texts move once.
+chunk with the hashes that are hit. The same exchange then settles the windows near hits. Texts move once. There is a chunk and an owner for
+each shuffle partition, so messages are as many as the blocks of an ordinary shuffle.
 
 Words are `[^\\x20\\x09-\\x0D]+`; runs are compared by 48 bits for candidates and by 63 bits when verified.
 
@@ -19,6 +20,7 @@ so lose what they repeat; an empty table gives an empty result; other columns pa
 from __future__ import annotations
 
 import uuid
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from quarry.llm import base
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
-#: Chunks per shuffle partition: a chunk is what one Python call holds.
-CHUNKS = 4
+#: Texts of a chunk are hashed in slices of about so many bytes.
+SLICE = 16 << 20
 _ODD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -80,6 +82,17 @@ class Words:
         self.begins = self.ends - self.sizes
         self.hashes = np.concatenate(parts) if parts else np.empty(0, dtype="uint64")
 
+    @staticmethod
+    def slices(texts: pa.ChunkedArray, keep: bool = False) -> Iterator["Words"]:
+        """The texts in order, SLICE bytes at a time: memory follows the slice, but for what callers gather."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype("int64"))
+        at = 0
+        while at < len(sizes):
+            end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, side="right"))
+            end = max(end, at + 1)
+            yield Words(texts.slice(at, end - at), keep)
+            at = end
+
     def whole(self, n: int) -> np.ndarray:
         """Starts of the runs of n words that stay within a text."""
         last = np.repeat(self.ends - n, self.sizes)
@@ -143,19 +156,16 @@ def answers(requests: DataFrame, low: int, need_block: bool) -> DataFrame:
     return requests.groupBy("owner").applyInArrow(settle, ANSWER)
 
 
-def _flagged(values: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
-    """Distinct values, ascending, with flag bits: (block,) met twice."""
-    if blocks is None:
-        values = np.sort(values)
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, dtype="int64")
-        many = np.diff([*first, len(values)]) > 1
-        return (values[first] << np.uint64(1)) | many.astype("uint64")
-    both = np.sort((values << np.uint64(1)) | blocks.astype("uint64"))
-    keys = both >> np.uint64(1)
+def _flagged(parts: list[np.ndarray], blocks: bool) -> np.ndarray:
+    """Distinct values, ascending, with flag bits: (a block has it,) met twice. blocks: bit 0 of what comes in says that it is a block."""
+    both = np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype="uint64")
+    keys = both >> np.uint64(1) if blocks else both
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype="int64")
     size = np.diff([*first, len(keys)])
-    last = first + size - 1
-    return (keys[first] << np.uint64(2)) | ((both[last] & np.uint64(1)) << np.uint64(1)) | (size > 1).astype("uint64")
+    many = (size > 1).astype("uint64")
+    if not blocks:
+        return (keys[first] << np.uint64(1)) | many
+    return (keys[first] << np.uint64(2)) | ((both[first + size - 1] & np.uint64(1)) << np.uint64(1)) | many
 
 
 def _union(table: pa.Table) -> np.ndarray:
@@ -185,7 +195,7 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs in chunks by row number (column _x_chunk), as a table bucketed by chunk; and the number of buckets."""
     spark = base.ready(docs.sparkSession)
     n = base.partitions(spark)
-    rows = docs.withColumn("_x_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n * CHUNKS)).cast("int"))
+    rows = docs.withColumn("_x_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     name = f"quarry_{uuid.uuid4().hex}"
     rows.repartition(n, "_x_chunk").write.bucketBy(n, "_x_chunk").option("path", f"{base.scratch(spark)}/{name}").saveAsTable(name)
     return spark.table(name), n
@@ -199,51 +209,55 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     texts = table.select("_x_chunk", F.col(text).cast("binary").alias("text"))
 
     def probes(t: pa.Table) -> pa.Table:
-        words = Words(t["text"])
-        at = words.whole(block)
-        values = runs(words.hashes, block)[at] >> np.uint64(16)
-        blocks = (at - np.repeat(words.begins, words.sizes)[at]) % block == 0
-        return request(t["_x_chunk"][0].as_py(), _flagged(values, blocks), 48, 2, owners)
+        parts = []
+        for words in Words.slices(t["text"]):
+            at = words.whole(block)
+            blocks = (at - np.repeat(words.begins, words.sizes)[at]) % block == 0
+            parts.append(((runs(words.hashes, block)[at] >> np.uint64(16)) << np.uint64(1)) | blocks.astype("uint64"))
+        return request(t["_x_chunk"][0].as_py(), _flagged(parts, True), 48, 2, owners)
 
     hits = base.materialise(answers(texts.groupBy("_x_chunk").applyInArrow(probes, REQUEST), 2, True))
 
     def windows(t: pa.Table, answer: pa.Table) -> pa.Table:
         if not t.num_rows or not answer.num_rows:
             return _rows(REQUEST, [])
-        words = Words(t["text"])
-        at = words.whole(block)
-        hit = at[_among(runs(words.hashes, block)[at] >> np.uint64(16), _union(answer))]
-        near = np.zeros(len(words.hashes) + 1, dtype="int64")
-        np.add.at(near, hit + 1, 1)
-        near = np.cumsum(near)  # hits before a place
-        starts = words.whole(window)
-        starts = starts[near[starts + window - block + 1] > near[starts]]
-        values = runs(words.hashes, window)[starts] >> np.uint64(1)
-        return request(t["_x_chunk"][0].as_py(), _flagged(values, None), 63, 1, owners)
+        known, parts = _union(answer), []
+        for words in Words.slices(t["text"]):
+            at = words.whole(block)
+            hit = at[_among(runs(words.hashes, block)[at] >> np.uint64(16), known)]
+            near = np.zeros(len(words.hashes) + 1, dtype="int64")
+            np.add.at(near, hit + 1, 1)
+            near = np.cumsum(near)  # hits before a place
+            starts = words.whole(window)
+            starts = starts[near[starts + window - block + 1] > near[starts]]
+            parts.append(runs(words.hashes, window)[starts] >> np.uint64(1))
+        return request(t["_x_chunk"][0].as_py(), _flagged(parts, False), 63, 1, owners)
 
     asked = texts.groupBy("_x_chunk").cogroup(hits.groupBy("_x_chunk")).applyInArrow(windows, REQUEST)
     repeats = base.materialise(answers(asked, 1, False))
     rest = [c for c in docs.columns]
-    out = T.StructType([*docs.schema.fields, T.StructField("_x_n_words", T.LongType()), T.StructField("_x_n_removed", T.LongType()), T.StructField("_x_kept", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_x_n_words", T.LongType()), T.StructField("_x_n_removed", T.LongType()), T.StructField("_x_kept", T.StringType())])
 
     def cut(t: pa.Table, answer: pa.Table) -> pa.Table:
         whole = t.select(rest)
         plain = t[text]
-        words = Words(pc.cast(plain, pa.binary()), keep=True)
-        gone = np.zeros(len(words.hashes), dtype=bool)
-        if answer.num_rows and t.num_rows:
+        known, sizes, kept, removed = _union(answer), [], [], []
+        for words in Words.slices(pc.cast(plain, pa.binary()), keep=True):
             starts = words.whole(window)
-            starts = starts[_among(runs(words.hashes, window)[starts] >> np.uint64(1), _union(answer))]
-            gone = _covered(starts, len(gone), window)
-        kept, removed = [], []
-        for i, (a, b) in enumerate(zip(words.begins.tolist(), words.ends.tolist(), strict=True)):
-            lost = gone[a:b]
-            n = int(lost.sum())
-            removed.append(n)
-            kept.append(b" ".join([w for w, x in zip(words.words[i], lost.tolist(), strict=True) if not x]).decode() if n else plain[i].as_py())
-        return whole.append_column("_x_n_words", pa.array(words.sizes)).append_column("_x_n_removed", pa.array(removed, pa.int64())).append_column("_x_kept", pa.array(kept, pa.string()))
-
-    return table.groupBy("_x_chunk").cogroup(repeats.groupBy("_x_chunk")).applyInArrow(cut, out)
+            starts = starts[_among(runs(words.hashes, window)[starts] >> np.uint64(1), known)] if len(known) else starts[:0]
+            gone = _covered(starts, len(words.hashes), window)
+            for own, a, b in zip(words.words, words.begins.tolist(), words.ends.tolist(), strict=True):
+                lost = gone[a:b]
+                n = int(lost.sum())
+                sizes.append(b - a)
+                removed.append(n)
+                kept.append(b" ".join([w for w, x in zip(own, lost.tolist(), strict=True) if not x]).decode() if n else plain[len(kept)].as_py())
+        out = whole
+        for name, values, kind in (("_x_n_words", sizes, pa.int64()), ("_x_n_removed", removed, pa.int64()), ("_x_kept", kept, pa.string())):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
+
+    return table.groupBy("_x_chunk").cogroup(repeats.groupBy("_x_chunk")).applyInArrow(cut, schema)
 
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
