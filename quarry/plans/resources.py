@@ -5,6 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MIB = 1 << 20
 # Budgets per task and reserves.
 TASK_MIB, HINTED_TASK_MIB, HEAP_RESERVE_MIB, SYSTEM_RESERVE_MIB = 256, 64, 512, 1024
@@ -21,6 +24,17 @@ def limit(cpus: int, total: int, free: int, heap_max: int, heap_used: int, hint:
     return min(max(1, cpus - 1), heap, physical, hint or 1 << 31)
 
 
+def limit_column(cpus: Column, total: Column, free: Column, heap_max: Column, heap_used: Column, hint: Column | None = None) -> Column:
+    """limit() over a table of machines; a null or non-positive hint is none."""
+    hint = F.when(hint > 0, hint) if hint is not None else F.lit(None).cast("long")
+    cost = F.when(hint.isNull(), F.lit(TASK_MIB * MIB)).otherwise(F.lit(HINTED_TASK_MIB * MIB)).cast("double")
+    jobs = lambda room: F.greatest(F.floor(room / cost), F.lit(1)).cast("long")
+    heap = jobs(heap_max - heap_used - F.greatest(F.lit(HEAP_RESERVE_MIB * MIB), F.floor(heap_max / 4)))
+    physical = jobs(F.least(free, total) - F.greatest(F.lit(SYSTEM_RESERVE_MIB * MIB), F.floor(total / 10)))
+    physical = F.when((total > 0) & (free >= 0), physical).otherwise(F.lit(1))
+    return F.least(F.greatest(cpus - 1, F.lit(1)).cast("long"), heap, physical.cast("long"), hint.cast("long"))
+
+
 def historical_limit(heap: int, cpus: int, used: int = 0) -> int:
     """The earlier formula, for comparison: twice the CPUs, bounded by the heap."""
     room = (heap - max(0, used) - max(HEAP_RESERVE_MIB * MIB, heap // 4)) // (TASK_MIB * MIB)

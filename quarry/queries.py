@@ -202,9 +202,9 @@ def content_versions_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reps.groupBy("grp").agg(F.count(F.lit(1)).alias("n_versions"), F.sum("doc_id").alias("first_sum"))
 
 
-@query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(left(text, 300), '[^\\p{L}\\p{N}._-]', '_', 'g'), '^[._]+', ''), '[._]+$', ''), ''), 'project') AS safe FROM documents")
+@query("SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}._-]', '_', 'g'), '^[._]+', ''), '[._]+$', ''), ''), 'project') AS safe FROM documents")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.left("text", F.lit(300))).alias("safe"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.col("text")).alias("safe"))
 
 
 @query("SELECT doc_id, list_max(list_filter(range(0, 121), lambda n: strlen(left(text, n)) <= 120 AND n <= length(text)))::BIGINT AS kept FROM documents")
@@ -222,19 +222,20 @@ def planned_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["conflict_roots"] = planned_versions
 
 
-@query("SELECT p.module, p.library FROM (SELECT DISTINCT lang AS module, 'all-in-one' AS library FROM documents) p UNION SELECT DISTINCT lang, source FROM documents WHERE doc_id % 50 = 0")
+@query("SELECT p.module, p.library FROM (SELECT DISTINCT lang AS module, 'all-in-one' AS library FROM documents) p UNION SELECT DISTINCT lang, source FROM documents WHERE lang <> 'en'")
 def attach_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    has = d.filter("doc_id % 50 = 0").select(F.col("lang").alias("module"), F.col("source").alias("library")).distinct()
+    has = d.filter("lang <> 'en'").select(F.col("lang").alias("module"), F.col("source").alias("library")).distinct()
     return catalog.attached(has, d.select(F.col("lang").alias("module")))
 
 
-@query("SELECT o_orderkey, greatest(least(7, (4294967296 - o_orderkey * 1048576 % 4294967296 - 1073741824) // 268435456, 8), 1)::BIGINT AS jobs FROM orders WHERE o_orderkey <= 2000")
+@query("SELECT o_orderkey, greatest(least(7, (4294967296 - o_orderkey * 1048576 % 4294967296 - 1073741824) // 268435456, 8), 1)::BIGINT AS jobs FROM orders")
 def resource_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The admission formula as a Column-free plan-time function, over a table of cases."""
-    jobs = F.udf(lambda used: resources.limit(8, 32 << 30, 24 << 30, 4 << 30, used, None), "long")
-    o = table(spark, sf_dir, "orders").filter("o_orderkey <= 2000")
-    return o.select("o_orderkey", jobs((F.col("o_orderkey") * 1048576 % 4294967296).cast("long")).alias("jobs"))
+    """The admission formula over a table of machines: all alike but for the heap in use."""
+    used = (F.col("o_orderkey") * 1048576 % 4294967296).cast("long")
+    big = lambda n: F.lit(n << 30).cast("long")
+    jobs = resources.limit_column(F.lit(8), big(32), big(24), big(4), used)
+    return table(spark, sf_dir, "orders").select("o_orderkey", jobs.alias("jobs"))
 
 
 @query("SELECT url, page_id, row_number() OVER (PARTITION BY lower(url) ORDER BY page_id) AS nth FROM pages")

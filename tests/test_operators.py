@@ -112,6 +112,13 @@ def test_resource_vectors():
     assert len(told) == len(rendered) == 1
 
 
+def test_resource_vectors_as_columns(spark):
+    cases = [(16, 32 << 30, 24000 * MIB, 4096 * MIB, 1024 * MIB, h) for h in (None, 32, 3, -1)] + [(1, 32 << 30, 24000 * MIB, 4096 * MIB, 0, 32), (16, 0, 5, 4096 * MIB, 0, 32), (16, 32 << 30, -1, 4096 * MIB, 0, None), (4, 2 << 30, 1 << 30, 1 << 30, 3 << 30, None)]
+    df = spark.createDataFrame(cases, "cpus long, total long, free long, heap_max long, heap_used long, hint long")
+    got = df.select(resources.limit_column(*[F.col(c) for c in df.columns])).collect()
+    assert [r[0] for r in got] == [resources.limit(*c) for c in cases]
+
+
 def test_engine_contract():
     assert engine.describe(ValueError()).startswith("ValueError: ")
     a, b = ValueError("a"), ValueError("b")
