@@ -37,12 +37,16 @@ class Output:
 @dataclass
 class Engine:
     """transform: one call for a whole family, its root first. merges: whether it takes more than one class at a time.
-    parallelism_hint: how many calls it can bear, None or not positive: no opinion."""
+    parallelism_hint: how many calls it can bear, None or not positive: no opinion. needs_siblings: it reads what is nested in a class
+    from the files beside it, so a family fails if one of these was not selected. opened and closed: called around a task's units."""
 
     transform: Callable[[list[Member]], Output]
     merges: bool = True
     parallelism_hint: int | None = None
     requires: Callable[[], None] | None = None  # raises if the engine cannot run here
+    needs_siblings: bool = False
+    opened: Callable[[], None] | None = None
+    closed: Callable[[], None] | None = None
 
     @property
     def hint(self) -> int | None:
@@ -134,6 +138,15 @@ def transformed(units: DataFrame, engine: Engine = SUMMARY) -> DataFrame:
         engine.requires()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            if engine.opened:
+                engine.opened()
+            yield from results(batches)
+        finally:
+            if engine.closed:
+                engine.closed()
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a family at a time: contents may be large
                 unit, members = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()

@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import text
-from quarry.operators import catalog, collect, dedup, engine, family, report
+from quarry.operators import catalog, collect, dedup, engine, family, report, resolve
 from quarry.plans import resources
+from quarry.session import drop, materialise
 from quarry.sources import artifacts, sinks
 
 
@@ -61,6 +63,15 @@ def _count(df: DataFrame) -> dict[str, int]:
     return {k: int(v or 0) for k, v in df.first().asDict().items()}
 
 
+def _unselected(items: DataFrame, members: DataFrame) -> DataFrame:
+    """(unit, missing): units beside whose root lie files of nested classes that are not among its members. members: unit, nth, m."""
+    at = (F.when(F.col("entry").isNotNull(), F.col("path")).otherwise(F.lit("")).alias("container"), F.coalesce("entry", "path").alias("place"))
+    entries = items.filter("status in ('ok', 'filtered')").select("name", "origin", "digest", *at)
+    named = entries.select(F.col("name").alias("_n"), F.col("origin").alias("_o"), "container", "place")
+    placed = members.join(named, (F.col("m.name") == F.col("_n")) & (F.col("m.origin") == F.col("_o"))).select("unit", "nth", "container", "place")
+    return resolve.incomplete(resolve.siblings(placed.filter("nth = 0").drop("nth"), entries.select("container", "place")), placed)
+
+
 def export_classes(spark: SparkSession, roots: list[str], target: str, allow: str = "", deny: str = "", project: str = "/", format: str = "directory", keep_completed: bool = False) -> Result:
     """Scan, filter, drop copies, keep versions apart, write with provenance. One scan: its rows are persisted for the counters."""
     items = artifacts.scan(spark, roots, allow=allow, deny=deny, project=project, output=target).persist()
@@ -95,7 +106,15 @@ def export_families(spark: SparkSession, roots: list[str], target: str, using: e
         joined = members.join(content, (F.col("m.name") == F.col("_n")) & (F.col("m.origin") == F.col("_o")) & (F.col("m.digest") == F.col("_d")))
         filled = joined.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("nth", F.struct("m.name", "m.origin", "m.digest", "content").alias("m")))).alias("s")).select("unit", F.transform("s", lambda x: x["m"]).alias("members"))
         n = resources.partitions_for(units.count(), spark.sparkContext.defaultParallelism)
-        done = engine.transformed(filled.repartition(n, "unit"), using).persist()  # the engine runs once for each unit
+        lost = None
+        if using.needs_siblings:
+            bad = _unselected(items, members)
+            filled = filled.join(bad.select("unit"), "unit", "left_anti")
+            why = F.concat(F.col("missing").cast("string"), F.lit(" nested classes beside this one are not selected"))
+            issues = T.StructType.fromDDL(engine.UNIT_RESULT)["issues"].dataType
+            lost = bad.select("unit", F.lit("IncompleteFamily").alias("error_type"), why.alias("error")).select("unit", F.lit(None).cast("string").alias("source"), F.array().cast("array<string>").alias("warnings"), F.array().cast(issues).alias("issues"), "error_type", "error")
+        done = engine.transformed(filled.repartition(n, "unit"), using)
+        done = materialise(done.unionByName(lost) if lost is not None else done)  # the engine runs once for each unit
         failed = report.failures(units, done).persist()
         counts = _count(report.run_counts(items, done, failed))
         written = units.join(done.filter("error is null").select("unit", "source", F.size("issues").alias("n_issues")), "unit")
@@ -110,9 +129,10 @@ def export_families(spark: SparkSession, roots: list[str], target: str, using: e
         sinks.export(files, target, format, keep_completed)
         return Result(counts["discovered"], counts["filtered"], counts["duplicates"], counts["exported"], counts["partial_files"], counts["failed_rows"], counts["warnings"], preview)
     finally:
-        for df in (items, units, done):
-            if df is not None:
-                df.unpersist()
+        for df in (items, units):
+            df.unpersist()
+        if done is not None:
+            drop(done)
 
 
 def collect_dependencies(spark: SparkSession, project: str, library_root: DataFrame, module_library: DataFrame, modules: DataFrame, confirm: Callable[[str], bool] = lambda path: False) -> tuple[DataFrame, DataFrame]:

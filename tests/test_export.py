@@ -6,7 +6,7 @@ import pytest
 from classes import jar, make, put
 
 from quarry.operators import engine
-from quarry.plans import export
+from quarry.plans import control, export
 from quarry.sources import artifacts, sinks
 
 
@@ -104,6 +104,22 @@ def test_families_are_transformed_once_with_reports(spark, tmp_path):
     assert len(got["export-sources.tsv"].decode().splitlines()) == 1 + 6
 
 
+def test_a_denied_inner_class_cannot_leak(spark, tmp_path):
+    put(tmp_path, "a.jar", jar({"demo/O.class": make("demo/O"), "demo/O$V.class": make("demo/O$V", inner_of="demo/O"), "demo/O$Hidden.class": make("demo/O$Hidden", inner_of="demo/O"), "demo/Other.class": make("demo/Other")}))
+    r = export.export_families(spark, [str(tmp_path / "a.jar")], str(tmp_path / "out"), engine.Engine(engine.summary, needs_siblings=True), deny="Hidden", project=str(tmp_path))
+    assert (r.exported, r.filtered, r.failed_rows) == (1, 1, 2)
+    assert "demo/O.java" not in files(tmp_path / "out") and "IncompleteFamily" in files(tmp_path / "out")["decompilation-failures.csv"].decode()
+
+
+def test_cancelled_exports_start_nothing(spark, tmp_path):
+    c = control.Cancellation(spark)
+    with c.running():
+        assert spark.range(5).count() == 5
+    c.cancel()
+    with pytest.raises(InterruptedError), c.running():
+        spark.range(5).count()
+
+
 def test_equal_outers_with_other_inners_are_two_families(spark, tmp_path):
     for n, body in (("a", b"11"), ("b", b"22"), ("copy", b"11")):
         put(tmp_path, f"{n}.jar", jar({"demo/O.class": make("demo/O"), "demo/O$I.class": make("demo/O$I", inner_of="demo/O", body=body)}))
