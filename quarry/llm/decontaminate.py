@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -42,8 +43,9 @@ ITEMS_PER_BLOCK = 20_000
 #: Near pairs at the limit agree in about half of the embedding's places: 1 - (1 - 0.5 ** 2) ** 16 = 0.99.
 SAMPLES, REPEATS = 2, 16
 GATE = 0.25
-#: Windows are walked in pieces of so many.
-PIECE = 1 << 14
+#: So many texts are searched at a time, and windows are walked in pieces of so many.
+TEXTS = 1024
+PIECE = 1 << 11
 
 _WORD = re.compile(r"\w+")
 _ODD, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -54,8 +56,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def hashes_of(words: list[str]) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in words), dtype="uint64", count=len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype="uint64", count=len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,33 +68,34 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return _mix(h[:-1] * _ODD + h[1:])
 
 
-def cgk(h: np.ndarray, starts: np.ndarray, size: int, places: np.ndarray, seed: int) -> np.ndarray:
-    """The symbols at places (ascending) of the embedding of each h[s : s + size]. Beyond its end a sequence is padded with 0."""
-    i = np.zeros(len(starts), dtype="int64")
-    out = np.zeros((len(places), len(starts)), dtype="uint64")
-    at = 0
-    for step in range(int(places[-1]) + 1):
-        symbol = np.where(i < size, h[starts + np.minimum(i, size - 1)], np.uint64(0))
-        while at < len(places) and places[at] == step:
-            out[at] = symbol
-            at += 1
-        bit = _mix(symbol + np.uint64((seed * 0x632BE59BD9B4E019 + step * 0xD1B54A32D192ED03) % (1 << 64))) >> np.uint64(40)
-        i += (bit & np.uint64(1)).astype("int64")
-    return out
+@lru_cache(maxsize=4096)
+def plan(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sequences of size words: the places each walk is sampled at (REPEATS x SAMPLES, ascending), and a seed for each walk
+    and each 64 of its steps. A walk moves every second step on average, so it has read the sequence after twice its length."""
+    rng = np.random.default_rng(size)
+    places = np.sort(np.array([rng.choice(2 * size, SAMPLES, replace=False) for _ in range(REPEATS)]), axis=1)
+    return places, rng.integers(1, 1 << 63, size=(REPEATS, 2 * size // 64 + 1), dtype="uint64") | np.uint64(1)
 
 
 def signatures(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """REPEATS rows of LSH signatures, a column for each start."""
-    out = np.empty((REPEATS, len(starts)), dtype="uint64")
-    for r in range(REPEATS):
-        rng = np.random.default_rng(1000 * size + r)
-        # the walk moves every second step on average: it has read the sequence after twice its length
-        places = np.sort(rng.choice(2 * size, SAMPLES, replace=False))
-        got = cgk(h, starts, size, places, r + 1)
-        sig = np.full(len(starts), r + 1, dtype="uint64")
-        for row in got:
-            sig = _mix(sig * _ODD + row)
-        out[r] = sig
+    """REPEATS rows of LSH signatures of h[s : s + size], a column for each start: all walks of all windows take a step at a
+    time. The random bit of (walk, step, symbol) is one of the 64 that a hash of the symbol holds for 64 steps."""
+    places, seeds = plan(size)
+    count, width = len(starts), size + 1
+    symbols = np.zeros((count, width), dtype="uint64")  # the last column: beyond the end a sequence is padded with 0
+    symbols[:, :size] = h[starts[:, None] + np.arange(size)]
+    flat = symbols.ravel()
+    row = np.arange(count) * width
+    i = np.zeros((REPEATS, count), dtype="int64")
+    out = np.repeat(np.arange(1, REPEATS + 1, dtype="uint64")[:, None], count, axis=1)
+    bits, shift = None, np.arange(REPEATS)[:, None] * (count * width) + row
+    for step in range(int(places.max()) + 1):
+        if step % 64 == 0:
+            bits = _mix(flat * seeds[:, step // 64, None]).ravel()
+        for r, k in np.argwhere(places == step):
+            out[r] = _mix(out[r] * _ODD + flat[row + i[r]] + np.uint64(k))
+        i += ((bits[shift + i] >> np.uint64(step % 64)) & np.uint64(1)).astype("int64")
+        np.minimum(i, size, out=i)
     return out
 
 
@@ -247,8 +249,8 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
+                for k in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(k, TEXTS)
                     found = search(part.column(1).to_pylist(), own)
                     keys = part.column(0)
                     yield pa.RecordBatch.from_arrays(
@@ -277,8 +279,8 @@ def _without(docs: DataFrame, sent, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
                 bad = {f[0] for f in search(part.column(place).to_pylist(), own)}
                 yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
