@@ -9,9 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in an Arrow batch where the session has Spark's own default of 10,000: texts and contents are far larger than numbers.
+BATCH_ROWS = 2500
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it. On a cluster without a shared file system,
-    install the package or pass it with --py-files."""
+    """Let Python workers import this package from where the driver has it, and keep batches of texts small. On a cluster
+    without a shared file system, install the package or pass it with --py-files."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
