@@ -16,6 +16,7 @@ an empty table gives an empty result; a null key stays null.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from quarry.llm import base
 
 WINDOW, END = 2048, 1
-#: So many texts are encoded at a time, and the ids of so many different words are remembered by a worker.
-TEXTS, WORDS_KEPT = 2048, 1 << 19
+#: About so many bytes of text are encoded at a time, and the ids of so many different words are remembered by a worker.
+SLICE, WORDS_KEPT = 8 << 20, 1 << 16
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Texts with these are not parted at white space first: Python's str.split() takes them for space, the tokenizer does not.
 #: A capital sigma's small form depends on its place in Python, not in the tokenizer.
@@ -41,21 +42,96 @@ _ODD = re.compile("[\x1c-\x1f\u03a3]")
 _PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
+def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[b : b + n] for each b, n, one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class LetterModel:
+    """Byte-pair merges of many letter words at once, from the vocabulary and merges in a tokenizer's own file.
+
+    A row of a matrix is a word, a cell a symbol. In each round every word makes its best merge (least rank, then
+    leftmost), until none is left; the results are those of the tokenizer's model, word by word."""
+
+    LONGEST = 48  # bytes; longer words go to the library
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.base = max(vocab.values()) + 1
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # bytes that stand for themselves
+        hidden = iter(range(256, 512))
+        chars = [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
+        self.inner = np.array([vocab[c] for c in chars], dtype="int64")
+        self.last = np.array([vocab[c + model["end_of_word_suffix"]] for c in chars], dtype="int64")
+        keys = np.array([vocab[x] * self.base + vocab[y] for x, y in merges], dtype="int64")
+        made = np.array([vocab[x + y] for x, y in merges], dtype="int64")
+        self.made, order = made, np.argsort(keys)
+        self.keys, self.ranks = keys[order], order
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, len(made) if it doesn't merge. Symbols below 0 are none."""
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], len(self.made))
+
+    def encode(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has) of words data[b : b + n], UTF-8 bytes, none empty or longer than LONGEST."""
+        counts, rows, found = np.zeros(len(sizes), dtype="int64"), [], []
+        order = np.argsort(sizes, kind="stable")
+        for low in range(0, len(order), 1 << 15):  # words of like length together: little padding, bounded memory
+            part = order[low : low + (1 << 15)]
+            n = sizes[part]
+            width = int(n.max())
+            place = np.arange(width)
+            raw = data[np.minimum(begins[part, None] + place, len(data) - 1)]
+            s = np.where(place < n[:, None] - 1, self.inner[raw], np.where(place == n[:, None] - 1, self.last[raw], -1))
+            s = np.concatenate([s, np.full((len(part), 1), -1)], axis=1)
+            r = np.concatenate([self.rank(s[:, :-1], s[:, 1:]), np.full((len(part), 1), len(self.made))], axis=1)
+            live = np.arange(len(part))
+            while True:
+                j = r[live].argmin(axis=1)
+                best = r[live, j]
+                more = best < len(self.made)
+                if not more.any():
+                    break
+                live, j, best = live[more], j[more], best[more]
+                move = np.minimum(np.arange(width + 1) + (np.arange(width + 1) > j[:, None]), width)
+                s2, r2 = np.take_along_axis(s[live], move, axis=1), np.take_along_axis(r[live], move, axis=1)
+                k = np.arange(len(live))
+                s2[k, j] = self.made[best]
+                r2[k, j] = self.rank(s2[k, j], s2[k, j + 1])
+                before = np.maximum(j - 1, 0)
+                r2[k, before] = np.where(j > 0, self.rank(s2[k, before], s2[k, j]), r2[k, before])
+                s[live], r[live] = s2, r2
+            counts[part] = (s >= 0).sum(axis=1)
+            rows.append(part)
+            found.append(s[s >= 0])
+        if not rows:
+            return np.zeros(0, dtype="<u4"), counts
+        part, flat = np.concatenate(rows), np.concatenate(found)
+        ends = np.cumsum(counts[part])
+        at = np.empty(len(part), dtype="int64")
+        at[part] = ends - counts[part]
+        return gather(flat, at, counts).astype("<u4"), counts
+
+
 class WordTokenizer:
     """Ids of texts under a tokenizer whose pre-tokens never span white space.
 
     The tokenizer's own normalizer (NFC, white space, lower case) and pre-tokenizer work within words, so the ids of a text are
-    those of its words in order. The distinct words of a batch of texts are found by Arrow's dictionary encoding, each is
+    those of its words in order. The distinct words of a slice of texts are found by Arrow's dictionary encoding, each is
     encoded once, and the texts' ids are gathered. A word of letters with punctuation behind is two pre-tokens; letters
-    that are in lower case already go straight to the tokenizer's model, and are remembered between batches."""
+    in lower case go to LetterModel, everything else to the library."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = Tokenizer(self.whole.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters = LetterModel(path)
         self.kept, self.known = kept, {}
 
     def plain(self, text: str) -> str | None:
@@ -65,46 +141,54 @@ class WordTokenizer:
             return None if _ODD.search(text) else low
         return low if is_normalized("NFC", text) and is_normalized("NFC", low) and not _ODD.search(text) else None
 
-    def learn(self, new: list[str], letters: bool) -> None:
-        """letters: new words are letters in lower case, so each is one pre-token and the encoding tells which ids are whose."""
-        if not letters:
-            for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        elif new:
-            e = self.letters.encode(" ".join(new), add_special_tokens=False)
-            raw, owner = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
-            ends = (4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist() + [len(raw)]
-            for w, a, b in zip(new, [0, *ends], ends, strict=False):
-                self.known[w] = raw[a:b]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word."""
+    def others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has), by the library; what is frequent is remembered."""
         if len(self.known) + len(words) > self.kept:
             self.known.clear()
-        known = self.known
-        known[""] = b""
-        cores = [w if w.isalpha() else w.rstrip(_PUNCTUATION) for w in words]
-        sound = [c.isalpha() for c in cores]
-        self.learn(list({c for c, ok in zip(cores, sound, strict=True) if ok and c not in known}), True)
-        tails = [w[len(c) :] if ok else w for w, c, ok in zip(words, cores, sound, strict=True)]
-        self.learn(list({t for t in tails if t not in known}), False)
-        return [known[c] + known[t] if ok else known[t] for c, t, ok in zip(cores, tails, sound, strict=True)]
+        self.known[""] = b""
+        new = list({w for w in words if w not in self.known})
+        for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        ids = [self.known[w] for w in words]
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype="int64", count=len(ids)) // 4
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has)."""
+        cores = pc.utf8_rtrim(words, characters=_PUNCTUATION)
+        size = pc.binary_length(cores).to_numpy(zero_copy_only=False).astype("int64")
+        sound = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False) & (size > 0) & (size <= LetterModel.LONGEST)
+        tailed = np.flatnonzero(~sound | (size < pc.binary_length(words).to_numpy(zero_copy_only=False)))
+        # The letters in front, none for other words, then what is behind them, which is the word itself for others.
+        offsets = np.frombuffer(cores.buffers()[1], dtype="<i4")[cores.offset : cores.offset + len(cores) + 1].astype("int64")
+        front, front_n = self.letters.encode(np.frombuffer(cores.buffers()[2] or b"\0", dtype=np.uint8), offsets[:-1][sound], size[sound])
+        pairs = zip(words.take(pa.array(tailed)).to_pylist(), cores.take(pa.array(tailed)).to_pylist(), sound[tailed].tolist(), strict=True)
+        back, back_n = self.others([w[len(c) :] if ok else w for w, c, ok in pairs])
+        n = np.zeros((len(words), 2), dtype="int64")
+        n[sound, 0], n[tailed, 1] = front_n, back_n
+        at = np.zeros((len(words), 2), dtype="int64")
+        at[sound, 0], at[tailed, 1] = np.cumsum(front_n) - front_n, len(front) + np.cumsum(back_n) - back_n
+        return gather(np.concatenate([front, back]), at.ravel(), n.ravel()), n.sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         low = [self.plain(t) for t in texts]
         split = pc.utf8_split_whitespace(pa.array([x or "" for x in low], pa.string()))
         coded = split.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
-        ids = self.words(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        sizes = np.fromiter(map(len, ids), dtype="int64", count=len(ids)) // 4
+        flat, sizes = self.words(coded.dictionary)
         begins = np.cumsum(sizes) - sizes
-        size = sizes[at] if len(at) else np.zeros(0, dtype="int64")
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        gathered = flat[np.repeat(begins[at] - (ends - size), size) + np.arange(total)] if total else flat[:0]
-        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") if x is None else gathered[a:b] for t, x, a, b in zip(texts, low, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = gather(flat, begins[at], sizes[at])
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") if x is None else ids[a:b] for t, x, a, b in zip(texts, low, cuts, cuts[1:], strict=False)]
+
+
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Its rows in order, about size bytes of column 1 at a time."""
+    sizes, at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype("int64")), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -196,8 +280,7 @@ def packed(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         def lengths() -> Iterator[tuple[int, int]]:
             at = 0
             for batch in batches:
-                for k in range(0, batch.num_rows, TEXTS):
-                    part = batch.slice(k, TEXTS)
+                for part in slices(batch, SLICE):
                     for key_, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                         ids[at] = np.append(got, np.uint32(END)).astype("<u4").tobytes()
                         keys[at], sums[at] = key_, 0
