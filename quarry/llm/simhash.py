@@ -82,11 +82,20 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of each component. Copies of its row (same key) stay one; rows without a
-    key stay, as there is nothing to choose them by."""
-    heads = components(docs, text, key).filter(F.col(key) == F.col("_d_first")).select(F.col(key).alias("_d_key"), "_d_fp").distinct()
-    held = docs.join(heads.select("_d_key").distinct(), F.col(key) == F.col("_d_key"), "left_semi").dropDuplicates([key])
-    return held.unionByName(docs.filter(F.col(key).isNull()))
+    """The document with the smallest key of each component. Rows that share a kept key stay one; rows without a
+    key stay, as there is nothing to choose them by.
+
+    What is looked up are the keys that go (and the few that repeat), not those that stay: where they are few enough to be
+    broadcast, texts do not move at all."""
+    keys = components(docs, text, key).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_d_key"))
+    keys = base.materialise(keys.agg(F.max(F.col(key) == F.col("_d_first")).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"))
+    out = docs.join(base.bounded(keys.filter("not stays").select("_d_key"), 64), F.col(key) == F.col("_d_key"), "left_anti")
+    repeated = keys.filter("stays").select("_d_key")
+    if repeated.isEmpty():
+        return out
+    repeated = base.bounded(repeated, 64)
+    again = out.join(repeated, F.col(key) == F.col("_d_key"), "left_semi").dropDuplicates([key])
+    return out.join(repeated, F.col(key) == F.col("_d_key"), "left_anti").unionByName(again)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
