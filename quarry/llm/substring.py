@@ -8,8 +8,8 @@ the hit are verified, and verified windows that overlap make the maximal exact r
 How it scales: documents are dealt once into chunks, a bucketed table. A chunk sends the distinct hashes of its runs, sorted,
 delta coded and compressed (about 4 bytes a word), to the owners of hash ranges; each hash goes once from a chunk, however often
 it occurs there, so a passage that stands in a third of all documents costs its owner one entry per chunk. Owners answer each
-chunk with the hashes that are hit. The same exchange then settles the windows near hits. Texts move once. There is a chunk and an owner for
-each shuffle partition, so messages are as many as the blocks of an ordinary shuffle.
+chunk with the hashes that are hit. The same exchange then settles the windows near hits. Texts move once. There are CHUNKS chunks and an owner for
+each shuffle partition, so messages are about as many as the blocks of an ordinary shuffle.
 
 Words are `[^\\x20\\x09-\\x0D]+`; runs are compared by 48 bits for candidates and by 63 bits when verified.
 
@@ -34,8 +34,10 @@ from quarry.llm import base
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
-#: Texts of a chunk are hashed in slices of about so many bytes.
-SLICE = 16 << 20
+#: Chunks per shuffle partition: a chunk is what one Python call is given.
+CHUNKS = 2
+#: Texts of a chunk are hashed in slices of about so many bytes, and hashes settled in ranges of about so many.
+SLICE, RANGE = 4 << 20, 1 << 19
 _ODD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -136,36 +138,56 @@ def answers(requests: DataFrame, low: int, need_block: bool) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.Table:
         parts = [decode(b.as_py(), n.as_py()) for b, n in zip(table["hashes"], table["n"], strict=True)]
-        values = np.concatenate(parts)
-        source = np.repeat(np.arange(len(parts), dtype="int32"), [len(p) for p in parts])
-        order = np.argsort(values, kind="stable")
-        values, source = values[order], source[order]
-        keys = values >> np.uint64(low)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        met = np.add.reduceat(1 + (values & np.uint64(1)).astype("int64"), first) >= 2
-        if need_block:
-            met &= np.maximum.reduceat((values >> np.uint64(1)) & np.uint64(1), first) > 0
-        hit = np.repeat(met, np.diff([*first, len(values)]))
-        keys, source = keys[hit], source[hit]
-        order = np.argsort(source, kind="stable")  # keys stay ascending within a source
-        keys, source = keys[order], source[order]
-        cuts = np.searchsorted(source, np.arange(len(parts) + 1))
+        answered: list[list[np.ndarray]] = [[] for _ in parts]
+        least, most = min(int(p[0]) for p in parts) >> low, max(int(p[-1]) for p in parts) >> low
+        steps = max(1, sum(map(len, parts)) // RANGE)
+        edges = [(least + (most + 1 - least) * k // steps) << low for k in range(1, steps)]
+        cuts = [[0, *np.searchsorted(p, np.array(edges, dtype="uint64")).tolist(), len(p)] for p in parts]
+        for k in range(steps):
+            values = np.concatenate([p[c[k] : c[k + 1]] for p, c in zip(parts, cuts, strict=True)])
+            if not len(values):
+                continue
+            source = np.repeat(np.arange(len(parts), dtype="int32"), [c[k + 1] - c[k] for c in cuts])
+            order = np.argsort(values, kind="stable")
+            values, source = values[order], source[order]
+            keys = values >> np.uint64(low)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            met = np.add.reduceat(1 + (values & np.uint64(1)).astype("int64"), first) >= 2
+            if need_block:
+                met &= np.maximum.reduceat((values >> np.uint64(1)) & np.uint64(1), first) > 0
+            hit = np.repeat(met, np.diff([*first, len(values)]))
+            keys, source = keys[hit], source[hit]
+            order = np.argsort(source, kind="stable")  # keys stay ascending within a source
+            keys, source = keys[order], source[order]
+            ends = np.searchsorted(source, np.arange(len(parts) + 1)).tolist()
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                if b > a:
+                    answered[i].append(keys[a:b])
         chunks = table["chunk"].to_pylist()
-        return _rows(ANSWER, [(chunks[i], int(cuts[i + 1] - cuts[i]), encode(keys[cuts[i] : cuts[i + 1]])) for i in range(len(parts)) if cuts[i + 1] > cuts[i]])
+        return _rows(ANSWER, [(chunks[i], sum(map(len, x)), encode(np.concatenate(x))) for i, x in enumerate(answered) if x])
 
     return requests.groupBy("owner").applyInArrow(settle, ANSWER)
 
 
 def _flagged(parts: list[np.ndarray], blocks: bool) -> np.ndarray:
-    """Distinct values, ascending, with flag bits: (a block has it,) met twice. blocks: bit 0 of what comes in says that it is a block."""
-    both = np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype="uint64")
-    keys = both >> np.uint64(1) if blocks else both
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype="int64")
-    size = np.diff([*first, len(keys)])
-    many = (size > 1).astype("uint64")
-    if not blocks:
-        return (keys[first] << np.uint64(1)) | many
-    return (keys[first] << np.uint64(2)) | ((both[first + size - 1] & np.uint64(1)) << np.uint64(1)) | many
+    """Distinct values, ascending, with flag bits: (a block has it,) met twice. blocks: bit 0 of what comes in says that it is a
+    block. parts is emptied."""
+    both = np.concatenate(parts) if parts else np.empty(0, dtype="uint64")
+    parts.clear()
+    both.sort()
+    shift, out, at = np.uint64(1 if blocks else 0), [], 0
+    while at < len(both):  # a range at a time, which ends where a value does
+        end = len(both) if at + RANGE >= len(both) else int(np.searchsorted(both, ((both[at + RANGE] >> shift) + np.uint64(1)) << shift))
+        part = both[at:end]
+        keys = part >> shift
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff([*first, len(keys)])
+        flags = (size > 1).astype("uint64")
+        if blocks:
+            flags |= (part[first + size - 1] & np.uint64(1)) << np.uint64(1)
+        out.append((keys[first] << np.uint64(2 if blocks else 1)) | flags)
+        at = end
+    return np.concatenate(out) if out else both
 
 
 def _union(table: pa.Table) -> np.ndarray:
@@ -195,15 +217,15 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs in chunks by row number (column _x_chunk), as a table bucketed by chunk; and the number of buckets."""
     spark = base.ready(docs.sparkSession)
     n = base.partitions(spark)
-    rows = docs.withColumn("_x_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    rows = docs.withColumn("_x_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n * CHUNKS)).cast("int"))
     name = f"quarry_{uuid.uuid4().hex}"
     rows.repartition(n, "_x_chunk").write.bucketBy(n, "_x_chunk").option("path", f"{base.scratch(spark)}/{name}").saveAsTable(name)
     return spark.table(name), n
 
 
 def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with _x_n_words, _x_n_removed and _x_kept: the words that no repeated window covers, joined by one space
-    (the text as it was if nothing is removed)."""
+    """docs without their texts, with _x_n_words, _x_n_removed and _x_kept: the words that no repeated window covers, joined by
+    one space (the text as it was if nothing is removed)."""
     block = (window + 1) // 2
     table, owners = dealt(docs)
     texts = table.select("_x_chunk", F.col(text).cast("binary").alias("text"))
@@ -235,8 +257,8 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
 
     asked = texts.groupBy("_x_chunk").cogroup(hits.groupBy("_x_chunk")).applyInArrow(windows, REQUEST)
     repeats = base.materialise(answers(asked, 1, False))
-    rest = [c for c in docs.columns]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_x_n_words", T.LongType()), T.StructField("_x_n_removed", T.LongType()), T.StructField("_x_kept", T.StringType())])
+    rest = [c for c in docs.columns if c != text]
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != text], T.StructField("_x_n_words", T.LongType()), T.StructField("_x_n_removed", T.LongType()), T.StructField("_x_kept", T.StringType())])
 
     def cut(t: pa.Table, answer: pa.Table) -> pa.Table:
         whole = t.select(rest)
@@ -262,7 +284,7 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the repeats cut from their texts, and n_chars (where there is such a column) to match."""
-    out = without_repeats(docs, text).withColumn(text, F.col("_x_kept"))
+    out = without_repeats(docs, text).withColumnRenamed("_x_kept", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_x_n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
