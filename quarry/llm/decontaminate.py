@@ -7,8 +7,11 @@ walks with other random bits raise the chance that a near pair meets at least on
 item slide over the documents word by word; windows that meet an item are verified by exact edit distance of the characters
 against the whole surrounding text.
 
-So that the walks run only where an item can be, a window must first hold GATE of the word pairs of items of its size: a pair of
-texts within the edit limit keeps far more of them (an edit breaks two pairs at most).
+So that the walks run only where an item can be, a window must first hold GATE of the word pairs of items of its size. Edits of
+whole words leave far more of them (an edit breaks two pairs at most), but letters changed in most words leave none. Therefore
+runs of characters are a second way to a window, beside the walks: where two runs of RUN characters stand as an item has them, give
+or take DRIFT places, its pieces there are compared. An item is cut into pieces of PIECE_CHARS at most; of a passage within the
+edit limit at least one piece is within its own share of it, so a stretch goes to verification if the piece of a run is.
 
 The items are the small side. They are taken in blocks of ITEMS_PER_BLOCK: a block is what is sent to the executors, however
 many items there are, and documents are never shuffled.
@@ -46,6 +49,11 @@ GATE = 0.25
 #: So many texts are searched at a time, and windows are walked in pieces of so many.
 TEXTS = 1024
 PIECE = 1 << 11
+#: Two runs of so many characters, whose places differ from the item's by DRIFT at most from one to the other, are evidence.
+RUN, DRIFT = 8, 24
+PIECE_CHARS = 32
+#: Texts are searched for runs in groups of about so many characters, and pieces compared so many at a time.
+CHARS, COMPARED, NEXT = 1 << 18, 1 << 13, 4
 
 _WORD = re.compile(r"\w+")
 _ODD, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -81,21 +89,29 @@ def signatures(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """REPEATS rows of LSH signatures of h[s : s + size], a column for each start: all walks of all windows take a step at a
     time. The random bit of (walk, step, symbol) is one of the 64 that a hash of the symbol holds for 64 steps."""
     places, seeds = plan(size)
-    count, width = len(starts), size + 1
-    symbols = np.zeros((count, width), dtype="uint64")  # the last column: beyond the end a sequence is padded with 0
-    symbols[:, :size] = h[starts[:, None] + np.arange(size)]
-    flat = symbols.ravel()
-    row = np.arange(count) * width
+    count = len(starts)
+    # Windows overlap: each symbol is hashed once. Slot 0: beyond the end a sequence is padded with 0.
+    steps = np.zeros(int(starts.max()) + size + 1, dtype="int64")
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + size, -1)
+    used = np.cumsum(steps)[:-1] > 0
+    flat = np.concatenate([np.zeros(1, dtype="uint64"), h[: len(used)][used]])
+    first = np.cumsum(used)[starts]
     i = np.zeros((REPEATS, count), dtype="int64")
     out = np.repeat(np.arange(1, REPEATS + 1, dtype="uint64")[:, None], count, axis=1)
-    bits, shift = None, np.arange(REPEATS)[:, None] * (count * width) + row
+    bits, shift = None, np.arange(REPEATS)[:, None] * len(flat)
     for step in range(int(places.max()) + 1):
         if step % 64 == 0:
             bits = _mix(flat * seeds[:, step // 64, None]).ravel()
+        at = first + i
+        if step >= size:
+            at[i == size] = 0
         for r, k in np.argwhere(places == step):
-            out[r] = _mix(out[r] * _ODD + flat[row + i[r]] + np.uint64(k))
-        i += ((bits[shift + i] >> np.uint64(step % 64)) & np.uint64(1)).astype("int64")
-        np.minimum(i, size, out=i)
+            out[r] = _mix(out[r] * _ODD + flat[at[r]] + np.uint64(k))
+        at += shift
+        i += ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).view("int64")
+        if step + 1 > size:
+            np.minimum(i, size, out=i)
     return out
 
 
@@ -123,6 +139,138 @@ def edit_match(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def limit_of(length: int) -> int:
+    return int((1 - MIN_SIMILARITY) * length + 1e-9)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def run_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each run of RUN (8) characters, by doubling."""
+    h, k, factor = codes.astype("uint64"), 1, int(_ODD)
+    while k < RUN:
+        h = h[:-k] * np.uint64(factor) + h[k:]
+        k, factor = 2 * k, factor * factor & 0xFFFFFFFFFFFFFFFF
+    return h * _M1
+
+
+@dataclass
+class Runs:
+    """The items' runs of characters, and their pieces for comparison."""
+
+    bits: int
+    seen: np.ndarray  # by the high bits of a hash: some run has them
+    hashes: np.ndarray  # ascending, distinct
+    firsts: np.ndarray  # for each hash, where its runs begin
+    counts: np.ndarray
+    item: np.ndarray  # for each run, by hash
+    place: np.ndarray
+    piece: np.ndarray
+    letters: np.ndarray  # code to a number, 0 for what no item has
+    masks: np.ndarray  # for each piece and letter, where the letter stands
+    begins: np.ndarray  # for each piece
+    lengths: np.ndarray
+
+
+def runs_of(texts: list[str]) -> Runs:
+    coded = [codes_of(t) for t in texts]
+    alphabet = np.unique(np.concatenate(coded)) if coded else np.empty(0, dtype="uint32")
+    letters = np.zeros(int(alphabet[-1]) + 2 if len(alphabet) else 1, dtype="int64")
+    letters[alphabet] = np.arange(1, len(alphabet) + 1)
+    hashes, item, place, piece, masks, begins, lengths = [], [], [], [], [], [], []
+    for k, c in enumerate(coded):
+        parts = -(-len(c) // PIECE_CHARS)
+        edges = np.arange(parts + 1) * len(c) // parts
+        n = max(0, len(c) - RUN + 1)
+        if n:
+            hashes.append(run_hashes(c))
+            item.append(np.full(n, k))
+            place.append(np.arange(n))
+            # a run belongs to the piece that holds its middle
+            piece.append(len(begins) + np.searchsorted(edges, np.arange(n) + RUN // 2, side="right") - 1)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = np.zeros(len(alphabet) + 1, dtype="uint32")
+            np.bitwise_or.at(own, letters[c[a:b]], np.uint32(1) << np.arange(b - a, dtype="uint32"))
+            masks.append(own)
+            begins.append(a)
+            lengths.append(b - a)
+    flat = [np.concatenate(x) if x else np.empty(0, dtype="int64") for x in (hashes, item, place, piece)]
+    order = np.argsort(flat[0], kind="stable")
+    h, item, place, piece = (x[order] for x in flat)
+    h, firsts, counts = np.unique(h.astype("uint64"), return_index=True, return_counts=True)
+    bits = min(28, max(20, len(h).bit_length() + 4))
+    seen = np.zeros(1 << bits, dtype=bool)
+    seen[h >> np.uint64(64 - bits)] = True
+    return Runs(bits, seen, h, firsts, counts, item, place, piece, letters, np.array(masks, dtype="uint32"), np.array(begins, dtype="int64"), np.array(lengths, dtype="int64"))
+
+
+def least_distances(runs: Runs, codes: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """For each pair of a piece and the place in codes where it is expected, the least edit distance of the piece to a part of the
+    text there. As edit_match, for many pieces at a time."""
+    one, length = np.uint32(1), runs.lengths[piece].astype("int32")
+    width, margin = runs.masks.shape[1], limit_of(PIECE_CHARS) + NEXT
+    masks, row, top = runs.masks.ravel(), piece * width, (length - 1).astype("uint32")
+    pv, mv, score, best = np.full(len(at), ~np.uint32(0)), np.zeros(len(at), dtype="uint32"), length.copy(), length.copy()
+    codes = np.concatenate([np.zeros(margin, dtype="int64"), codes, np.zeros(PIECE_CHARS + margin, dtype="int64")])
+    at = np.clip(at + margin, margin, len(codes) - PIECE_CHARS - margin)
+    for j in range(-margin, PIECE_CHARS + margin):
+        eq = masks[row + codes[at + j]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += ((ph >> top) & one).view("int32") - ((mh >> top) & one).view("int32")
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best
+
+
+def near_runs(texts: list[str], runs: Runs) -> Iterator[tuple[int, int, int]]:
+    """(text, item, where the item would begin, in characters) for each place where a piece of an item is near."""
+    if not len(runs.hashes):
+        return
+    limits = np.array([limit_of(n) for n in runs.lengths.tolist()])
+    k = 0
+    while k < len(texts):
+        first, size = k, 0
+        while k < len(texts) and (k == first or size + len(texts[k]) <= CHARS):
+            size, k = size + len(texts[k]) + 1, k + 1
+        codes = codes_of("\n".join(texts[first:k]))  # no item has a line feed
+        if len(codes) < RUN:
+            continue
+        h = run_hashes(codes)
+        at = np.flatnonzero(runs.seen[h >> np.uint64(64 - runs.bits)])
+        h = h[at]
+        which = np.minimum(np.searchsorted(runs.hashes, h), len(runs.hashes) - 1)
+        same = runs.hashes[which] == h
+        at, a, n = at[same], runs.firsts[which[same]], runs.counts[which[same]]
+        at = np.repeat(at, n)
+        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        begin = at - runs.place[hit]  # where the item would begin
+        order = np.argsort((runs.item[hit] << 40) + begin + (1 << 30))
+        at, hit, begin = at[order], hit[order], begin[order]
+        item = runs.item[hit]
+        pair = np.flatnonzero((item[1:] == item[:-1]) & (begin[1:] - begin[:-1] <= DRIFT))
+        both = np.zeros(len(at), dtype=bool)
+        both[pair] = both[pair + 1] = True
+        at, hit, begin, item = at[both], hit[both], begin[both], item[both]
+        if not len(at):
+            continue
+        # one comparison for each piece and NEXT places: the margin covers those next to it
+        _, once = np.unique((runs.piece[hit] << 40) + (begin + (1 << 30)) // NEXT, return_index=True)
+        at, hit, begin, item = at[once], hit[once], begin[once], item[once]
+        ends = np.cumsum([len(t) + 1 for t in texts[first:k]])
+        coded = runs.letters[np.minimum(codes, len(runs.letters) - 1)]
+        for x in range(0, len(at), COMPARED):
+            piece = runs.piece[hit[x : x + COMPARED]]
+            good = np.flatnonzero(least_distances(runs, coded, begin[x : x + COMPARED] + runs.begins[piece], piece) <= limits[piece])
+            for g in (good + x).tolist():
+                d = int(np.searchsorted(ends, at[g], side="right"))
+                yield first + d, int(item[g]), int(begin[g] - ends[d] + len(texts[first + d]) + 1)
+
+
 @dataclass
 class Items:
     """A block of items: its size classes (numbers of words), and what finds them."""
@@ -134,6 +282,7 @@ class Items:
     pair_hashes: np.ndarray  # ascending
     pair_classes: list[np.ndarray]  # for each class, which of pair_hashes its items have
     tables: list[tuple[np.ndarray, np.ndarray]]  # for each class, signatures (ascending) and their items
+    runs: Runs
 
 
 def items_of(rows: list[tuple[int, str]]) -> Items:
@@ -150,7 +299,7 @@ def items_of(rows: list[tuple[int, str]]) -> Items:
         flat, who = sig.ravel(), np.tile(np.array(members), REPEATS)
         order = np.argsort(flat, kind="stable")
         tables.append((flat[order], who[order]))
-    return Items([i for i, _ in rows], [" ".join(w) for _, w in rows], sizes, classes, known, [np.isin(known, x) for x in own], tables)
+    return Items([i for i, _ in rows], [" ".join(w) for _, w in rows], sizes, classes, known, [np.isin(known, x) for x in own], tables, runs_of([" ".join(w) for _, w in rows]))
 
 
 def gated(at: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -204,10 +353,14 @@ def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, f
                     d = int(np.searchsorted(ends, s, side="right"))
                     for item in set(who[x:y].tolist()):
                         near.setdefault((d, item), []).append(s - int(begins[d]))
+    plain = [" ".join(w) for w in split]
+    by_runs: dict[tuple[int, int], list[int]] = {}
+    for d, item, begin in near_runs(plain, items.runs):
+        by_runs.setdefault((d, item), []).append(begin)
     out = []
-    for (d, item), starts in sorted(near.items()):
+    for d, item in sorted(near.keys() | by_runs.keys()):
         pattern, size, best = items.texts[item], items.sizes[item], None
-        limit, slack = int((1 - MIN_SIMILARITY) * len(pattern) + 1e-9), items.sizes[item] // 2 + 2
+        limit, slack, starts = limit_of(len(pattern)), items.sizes[item] // 2 + 2, near.get((d, item), [])
         starts.sort()
         k = 0
         while k < len(starts):  # windows that overlap are verified as one stretch of text
@@ -218,6 +371,16 @@ def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, f
             distance, end = edit_match(pattern, " ".join(split[d][a : b + size + slack]))
             if distance <= limit and (best is None or distance < best[0]):
                 best = distance, a
+        begun = sorted(by_runs.get((d, item), []))
+        k = 0
+        while k < len(begun):  # the same in characters; edits move the ends of a passage by the limit at most
+            a, b = begun[k], begun[k]
+            while k < len(begun) and begun[k] <= b + len(pattern):
+                b, k = begun[k], k + 1
+            a = max(0, a - limit - DRIFT)
+            distance, _ = edit_match(pattern, plain[d][a : b + len(pattern) + limit + DRIFT])
+            if distance <= limit and (best is None or distance < best[0]):
+                best = distance, plain[d].count(" ", 0, a)
         if best:
             out.append((d, item, best[0], 1 - best[0] / len(pattern), best[1]))
     return out

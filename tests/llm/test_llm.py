@@ -279,6 +279,41 @@ def test_decontamination_recall_and_precision(spark):
     assert {x.doc_id for x in decontaminate.clean(df, bench).collect()} == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def letters_changed(text, r, share):
+    w = text.split()
+    for k in r.sample(range(len(w)), round(share * len(w))):
+        p = r.randrange(len(w[k]))
+        w[k] = w[k][:p] + r.choice("xyz") + w[k][p + 1 :]
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.4, 0.5, 0.75])
+def test_decontamination_finds_changed_letters(share):
+    r = random.Random(17)
+    texts = [prose(n, 3000 + 100 * n + i) for n in (18, 30, 55) for i in range(20)]
+    items = decontaminate.items_of(list(enumerate(texts)))
+    docs = [prose(40, 7000 + i) + " " + letters_changed(t, r, share) + " " + prose(40, 8000 + i) for i, t in enumerate(texts)]
+    docs += [prose(200, 9000 + i) for i in range(20)]
+    truth = {(d, k) for d, t in enumerate(docs) for k, p in enumerate(items.texts) if decontaminate.edit_match(p, t)[0] <= 0.2 * len(p)}
+    got = {(d, k) for d, k, *_ in decontaminate.search(docs, items)}
+    assert got <= truth and len(got) >= 0.98 * len(truth) and len(truth) >= 40
+
+
+def test_pieces_are_compared_exactly():
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab ") for _ in range(n)) for n in (8, 31, 32, 33, 64, 90)]
+    runs = decontaminate.runs_of(texts)
+    line = "".join(r.choice("abc ") for _ in range(200))
+    coded = runs.letters[np.minimum(decontaminate.codes_of(line), len(runs.letters) - 1)]
+    owner = np.repeat(np.arange(6), [1, 1, 1, 2, 2, 3])
+    margin = decontaminate.limit_of(decontaminate.PIECE_CHARS) + decontaminate.NEXT
+    for at in (40, 100):
+        got = decontaminate.least_distances(runs, coded, np.full(len(owner), at), np.arange(len(owner)))
+        for k, own in enumerate(owner.tolist()):
+            piece = texts[own][runs.begins[k] : runs.begins[k] + runs.lengths[k]]
+            assert got[k] == slow_distance(piece, line[at - margin : at + decontaminate.PIECE_CHARS + margin])
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch, docs):
     bench = spark.createDataFrame([(1, prose(60, 3)), (2, prose(300, 2)), (3, prose(40, 77))], "item_id long, text string")
     key = lambda x: (-1 if x.doc_id is None else x.doc_id, x.item_id, x.distance)
