@@ -43,7 +43,8 @@ MIN_SIMILARITY = 0.8
 #: Shorter items are too common to be evidence.
 MIN_ITEM_WORDS = 5
 ITEMS_PER_BLOCK = 20_000
-#: Near pairs at the limit agree in about half of the embedding's places: 1 - (1 - 0.5 ** 2) ** 16 = 0.99.
+#: Where half of the embedding's places agree: 1 - (1 - 0.5 ** 2) ** 16 = 0.99. Walks are over words, so that holds for edits of
+#: whole words; changed letters are left to the runs.
 SAMPLES, REPEATS = 2, 16
 GATE = 0.25
 #: So many texts are searched at a time, and windows are walked in pieces of so many.

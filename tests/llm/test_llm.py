@@ -299,6 +299,17 @@ def test_decontamination_finds_changed_letters(share):
     assert got <= truth and len(got) >= 0.98 * len(truth) and len(truth) >= 40
 
 
+def test_decontamination_finds_random_character_edits():
+    r = random.Random(23)
+    texts = [prose(n, 4000 + 100 * n + i) for n in (18, 30, 55) for i in range(20)]
+    items = decontaminate.items_of(list(enumerate(texts)))
+    edit = lambda c: c if c == " " or r.random() >= 0.15 else r.choice(["x", c + "y", ""])
+    docs = [prose(40, 7000 + i) + " " + "".join(map(edit, t)) + " " + prose(40, 8000 + i) for i, t in enumerate(texts)]
+    truth = {d for d, t in enumerate(docs) if decontaminate.edit_match(items.texts[d], " ".join(decontaminate.words_of(t)))[0] <= 0.2 * len(items.texts[d])}
+    got = {d for d, k, *_ in decontaminate.search(docs, items) if d == k}
+    assert got <= truth and len(got) >= 0.97 * len(truth) and len(truth) >= 50
+
+
 def test_pieces_are_compared_exactly():
     r = random.Random(3)
     texts = ["".join(r.choice("ab ") for _ in range(n)) for n in (8, 31, 32, 33, 64, 90)]
