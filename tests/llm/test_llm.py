@@ -22,7 +22,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import base, chat, decontaminate, graph, html, packing, quality, sharding, simhash, substring, toxicity, warc
+from quarry.llm import base, chat, decontaminate, graph, html, packing, quality, sharding, similar, simhash, substring, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, fp string"
 rng = random.Random(5)
@@ -225,6 +225,42 @@ def test_hash_sets_survive_the_exchange():
         assert (substring.decode(substring.encode(v), len(v)) == v).all()
 
 
+def test_similar_equals_brute_force(spark):
+    r, rows = random.Random(31), []
+    for g in range(25):
+        own = prose(r.randrange(60, 200), 600 + g).split()
+        for _ in range(r.randrange(1, 5)):
+            w = list(own)
+            for _ in range(r.randrange(6)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            rows.append((len(rows), " ".join(w)))
+    big = prose(300, 999).split()  # a large group
+    rows += [(len(rows) + i, " ".join([*big, f"tail{i}"])) for i in range(60)]
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two"), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if i is not None and w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i, _ in rows if i is not None}
+    alike = [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(rows)):
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i for i in root if root[i] == i}
+    got = [x.doc_id for x in similar.first_of_each(df).collect()]
+    assert got.count(None) == 1 and set(got) - {None} == want and len(got) == len(want) + 1 and len(want) < len(root) - 70
+    import corpus_pipeline
+
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert not [1 for a, b in alike if a in kept and b in kept]
+
+
+def test_similar_of_nothing(empty):
+    assert similar.first_of_each(empty).count() == 0
+
+
 # ---- decontamination -----------------------------------------------------------------------------------------
 
 
