@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.session import materialise
 
-#: Deeper nesting than this is taken for a cycle.
-MAX_DEPTH = 64
-
 
 def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: str = "parent") -> DataFrame:
     """(scope, name, root, depth) for every distinct name: parents are followed while exactly one item of that name is in the
@@ -28,7 +25,6 @@ def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: st
     step = materialise(step.select(scope, name, F.col("unique_name").alias("up")))
     # path: the ancestors in order, nearest first; it stops before what would repeat.
     now = step.select(scope, name, F.when(F.col("up").isNull() | (F.col("up") == F.col(name)), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path"))
-    rounds = 0
     while True:
         ahead = now.select(F.col(scope).alias("s"), F.col(name).alias("at"), F.col("path").alias("more"))
         tip = F.get("path", F.size("path") - 1)
@@ -38,8 +34,7 @@ def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: st
         fresh = F.when(stop.isNull(), F.col("more")).otherwise(F.slice("more", 1, stop))
         nxt = grown.withColumn("fresh", fresh).select(scope, name, F.concat("path", "fresh").alias("path"), F.size("fresh").alias("moved"))
         nxt = materialise(nxt)
-        rounds += 1
-        if not nxt.filter("moved > 0").limit(1).count() or 2**rounds >= MAX_DEPTH:
+        if not nxt.filter("moved > 0").limit(1).count():
             break
         now = nxt.drop("moved")
     return nxt.select(scope, name, F.coalesce(F.get("path", F.size("path") - 1), F.col(name)).alias("root"), F.size("path").alias("depth"))
