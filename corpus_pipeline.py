@@ -1,4 +1,11 @@
-"""Documents to training sequences: quality rules, near duplicates, repeated substrings, benchmark leaks, packing."""
+"""Documents to training sequences: quality rules, near duplicates, repeated substrings, benchmark leaks, packing.
+
+Each stage judges all that the one before it kept, and all but the last return the columns of documents.
+
+Defined cases: null and empty texts go in the quality stage, which asks for words; repeated rows are copies, of which one stays; rows
+without an id are judged by the rules but never dropped as copies, as there is nothing to choose them by; an empty table gives an empty result;
+further columns, whatever their names, pass through up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # SimHash's 2 bits miss most texts that are alike in 0.8 of their five-word shingles.
+    # SimHash's 2 bits miss most texts that are alike in 0.8 of their five-word shingles: of what it keeps, these go as well.
     return similar.first_of_each(base.materialise(simhash.first_of_each(docs)))
 
 
@@ -40,12 +47,16 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: SQL cannot express SimHash's components, so the stages are tested against brute force.
+#: SQL cannot express SimHash's components; the tests hold the whole pipeline against a brute-force one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = base.materialise(stage(spark, docs, sf_dir))
+        since, before = base.mark(), docs
+        docs = base.materialise(stage(spark, before, sf_dir))
+        base.released(since, docs)  # what the stage made on its way
+        if before.inputFiles() and "/quarry-" in before.inputFiles()[0]:
+            base.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,8 @@ BATCH_ROWS = 2500
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, and keep batches of texts small. On a cluster
     without a shared file system, install the package or pass it with --py-files."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    own = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(own) == "10000" and not spark.sparkContext.getConf().contains(own):  # what a session was started with stays
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
@@ -26,28 +27,67 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own in local mode, in which
+    all is one machine, and an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: What this process has made in the shared folder and not yet deleted: folders, and tables of the catalog, in order.
+_made: list[tuple[str, str]] = []
+
+
+def made(kind: str, name: str) -> None:
+    """kind: folder or table. To be deleted by released()."""
+    _made.append((kind, name))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, read by any executor, its lineage cut."""
     spark = ready(df.sparkSession)
     path = f"{scratch(spark)}/quarry-{uuid.uuid4().hex}"
+    made("folder", path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """Where released() may begin."""
+    return len(_made)
+
+
+def released(since: int, *kept: DataFrame) -> None:
+    """Delete what was made since, but for what the kept tables read: for callers that hold whole results in kept."""
+    if not kept:
+        raise ValueError("nothing is kept")
+    spark = kept[0].sparkSession
+    used = {os.path.basename(os.path.dirname(f)) for df in kept for f in df.inputFiles()}
+    rest = []
+    for kind, name in _made[since:]:
+        if os.path.basename(name) in used:
+            rest.append((kind, name))
+        elif kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            _delete(spark, name)
+    _made[since:] = rest
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that materialise() made and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        if "/quarry-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+        if "/quarry-" in folder:
+            _delete(df.sparkSession, folder)
+            _made[:] = [x for x in _made if os.path.basename(x[1]) != os.path.basename(folder)]
