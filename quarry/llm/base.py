@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import drop, materialise, ready, scratch
+from quarry.session import drop, made, mark, materialise, ready, released, scratch
 
-__all__ = ["bounded", "crc32", "drop", "materialise", "partitions", "read", "ready", "scratch"]
+__all__ = ["bounded", "crc32", "drop", "looked_up", "made", "mark", "materialise", "partitions", "prefix", "read", "ready", "released", "relieved", "scratch", "slices"]
 
 #: Rows of a side may be broadcast when its measured size is at most so many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -21,12 +28,79 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded(small: DataFrame, row_bytes: int) -> DataFrame:
-    """small with a broadcast hint if its rows, counted, take BROADCAST_BYTES at most; else as it is,
+def prefix(df: DataFrame, start: str) -> str:
+    """start, with as many _ behind it as it takes that no column's name begins so."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start += "_"
+    return start
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes that its rows take, measured: the lengths of texts, and 16 for each other value."""
+    texts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    one = sum(texts, F.lit(16 * len(df.columns))).cast("long")
+    return df.agg(F.coalesce(F.sum(one), F.lit(0))).first()[0]
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """small with a broadcast hint if its rows, measured, take BROADCAST_BYTES at most; else as it is,
     so that the join shuffles (and AQE splits hot partitions)."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+    return F.broadcast(small) if size_of(small) <= BROADCAST_BYTES else small
+
+
+def looked_up(rows: DataFrame, column: str, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows left joined to table (without n) where column equals key. table: a row for each key, and n, how many of the rows have it.
+
+    Keys that have more than their share of rows, a quarter of what a shuffle partition holds on average, are fewer than
+    four times the partitions, so these are broadcast whatever the input's size; all others are joined by a shuffle in which no key is hot."""
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    share = max(1, total // (4 * partitions(rows.sparkSession)))
+    hot, rest = F.broadcast(table.filter(F.col(n) > share).drop(n)), table.filter(F.col(n) <= share).drop(n)
+    some, same = F.broadcast(table.filter(F.col(n) > share).select(F.col(key).alias("_b_key"))), F.col(column) == F.col("_b_key")
+    cold = rows.join(some, same, "left_anti").join(rest, F.col(column) == F.col(key), "left")
+    return rows.join(hot, F.col(column) == F.col(key)).unionByName(cold)
 
 
 def crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Its rows in order, about size bytes of a column of texts at a time: a slice ends with the row that fills it."""
+    sizes, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def relieve() -> None:
+    """Give memory that a Python worker no longer uses back to its machine: workers are kept, and what one stage held would
+    otherwise stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def relieved(f: Callable) -> Callable:
+    """f (of one or two arguments, as Spark counts them), or the iterator it returns, and then relieve()."""
+
+    def done(out):
+        if isinstance(out, Iterator):
+            return _to_its_end(out)
+        relieve()
+        return out
+
+    if f.__code__.co_argcount - len(f.__defaults__ or ()) == 1:
+        return wraps(f)(lambda a: done(f(a)))
+    return wraps(f)(lambda a, b: done(f(a, b)))
+
+
+def _to_its_end(it: Iterator) -> Iterator:
+    try:
+        yield from it
+    finally:
+        relieve()

@@ -1,121 +1,121 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-The CGK random walk writes a sequence x to an embedding of three times its length: at each step it outputs the symbol it stands at
-and moves on, or stays, by a random bit of (step, symbol). Two sequences a few edits apart fall into step again after each edit, so
-their embeddings differ in few places. Sampling SAMPLES places of the embedding is then a hash that near sequences share; REPEATS
-walks with other random bits raise the chance that a near pair meets at least once to the target. Windows of the size of each
-item slide over the documents word by word; windows that meet an item are verified by exact edit distance of the characters
-against the whole surrounding text.
-
-So that the walks run only where an item can be, a window must first hold GATE of the word pairs of items of its size. Edits of
-whole words leave far more of them (an edit breaks two pairs at most), but letters changed in most words leave none. Therefore
-runs of characters are a second way to a window, beside the walks: where two runs of RUN characters stand as an item has them, give
-or take DRIFT places, its pieces there are compared. An item is cut into pieces of PIECE_CHARS at most; of a passage within the
-edit limit at least one piece is within its own share of it, so a stretch goes to verification if the piece of a run is.
-
-The items are the small side. They are taken in blocks of ITEMS_PER_BLOCK: a block is what is sent to the executors, however
-many items there are, and documents are never shuffled.
-
-Words are runs of letters and digits, lower-cased, so punctuation and case don't hide a passage. Similarity is one less
-the edit distance over the item's length; a passage is a leak from MIN_SIMILARITY on.
-
-Defined cases: null and empty texts leak nothing; items of fewer than MIN_ITEM_WORDS words are no evidence and are
-never found; repeated rows are reported each; of equal matches of an item in a document the first counts; an empty table on either side gives an
-empty result; other columns pass through where documents are returned.
+The CGK random walk writes a sequence of characters to a longer embedding: at each step it outputs the character it stands at and
+moves on, or stays, by a random bit of (step, character). Sequences a few edits apart fall into step again after each edit,
+so their embeddings differ in few places, and sampling SAMPLES places of the embedding is a hash that near sequences share.
+
+Windows have the size of an item, and one starts at every word of every document. Walked one by one, windows of all sizes would read each
+character thousands of times. So the walk of a window starts anew at each of its words, and STEPS steps long: what it writes there, a
+part, is the same in every window, of whatever size, that holds the word. Each part is walked once, by WALKS walks with random bits and places
+of their own, and its samples are one draw of the LSH for all these windows. A window thus has WALKS draws for each of its words, and
+meets an item if one draw agrees. No text is passed over: every word of every document is walked, whatever stands there.
+
+A draw says which item a window meets and where in it. Then its edit distance is verified: first a lower bound for many windows at a
+time, which loses none (an item is cut into pieces, and a passage within the limit has the pieces within it, each near its place, at
+a total distance not above its own), then the exact distance of the characters over the whole window.
+
+Items are the small side. They are taken in blocks of ITEMS_PER_BLOCK: a block is what is sent to the executors, however
+many items there are, documents are read once for each block, and never shuffled.
+
+A text is read as its runs of letters and digits, lower-cased, with one space between, so punctuation and case don't hide a passage.
+Similarity is one less the edit distance over the item's length; a passage is a leak from MIN_SIMILARITY on. Items of
+fewer than SHORT characters, in which an edit or two make another text, are leaks where they stand verbatim, as whole words.
+
+Defined cases: null and empty texts leak nothing; an item without letters or digits is never found; repeated rows are reported each;
+of equal matches of an item in a document the first counts; an empty table on either side gives an
+empty result; other columns, whatever their names, pass through where documents are returned.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import base
 
 MIN_SIMILARITY = 0.8
-#: Shorter items are too common to be evidence.
-MIN_ITEM_WORDS = 5
+SHORT = 32
 ITEMS_PER_BLOCK = 20_000
-#: Where half of the embedding's places agree: 1 - (1 - 0.5 ** 2) ** 16 = 0.99. Walks are over words, so that holds for edits of
-#: whole words; changed letters are left to the runs.
-SAMPLES, REPEATS = 2, 16
-GATE = 0.25
-#: So many texts are searched at a time, and windows are walked in pieces of so many.
-TEXTS = 1024
-PIECE = 1 << 11
-#: Two runs of so many characters, whose places differ from the item's by DRIFT at most from one to the other, are evidence.
-RUN, DRIFT = 8, 24
-PIECE_CHARS = 32
-#: Texts are searched for runs in groups of about so many characters, and pieces compared so many at a time.
-CHARS, COMPARED, NEXT = 1 << 18, 1 << 13, 4
-
-_WORD = re.compile(r"\w+")
+#: A walk moves every second step on average, so a part is about half as many characters. Measured on the items of sf0.1, at
+#: least 98 in 100 passages at the limit of similarity are met, whether words, letters in all words, or any characters are edited.
+STEPS, SAMPLES, WALKS = 48, 10, 4
+#: A part of an item must have so many characters of it before its end.
+LEAST_PART = 24
+#: Texts are searched in slices of about so many characters, walks taken so many at a time, and pieces compared so many at a time.
+CHARS, AT_ONCE, COMPARED = 1 << 20, 1 << 15, 1 << 14
+#: Items are compared in pieces of so many characters; windows that begin within NEXT of each other are compared once.
+PIECE_CHARS, NEXT = 32, 8
+#: From here on scripts do not part words by spaces: every character begins a word.
+UNSPACED = 0x2E80
+
+_GAP = re.compile(r"\W+")
 _ODD, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
-def hashes_of(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype="uint64", count=len(words))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    return x ^ (x >> np.uint64(29))
-
-
-def pairs(h: np.ndarray) -> np.ndarray:
-    return _mix(h[:-1] * _ODD + h[1:])
-
-
-@lru_cache(maxsize=4096)
-def plan(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sequences of size words: the places each walk is sampled at (REPEATS x SAMPLES, ascending), and a seed for each walk
-    and each 64 of its steps. A walk moves every second step on average, so it has read the sequence after twice its length."""
-    rng = np.random.default_rng(size)
-    places = np.sort(np.array([rng.choice(2 * size, SAMPLES, replace=False) for _ in range(REPEATS)]), axis=1)
-    return places, rng.integers(1, 1 << 63, size=(REPEATS, 2 * size // 64 + 1), dtype="uint64") | np.uint64(1)
-
-
-def signatures(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """REPEATS rows of LSH signatures of h[s : s + size], a column for each start: all walks of all windows take a step at a
-    time. The random bit of (walk, step, symbol) is one of the 64 that a hash of the symbol holds for 64 steps."""
-    places, seeds = plan(size)
-    count = len(starts)
-    # Windows overlap: each symbol is hashed once. Slot 0: beyond the end a sequence is padded with 0.
-    steps = np.zeros(int(starts.max()) + size + 1, dtype="int64")
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + size, -1)
-    used = np.cumsum(steps)[:-1] > 0
-    flat = np.concatenate([np.zeros(1, dtype="uint64"), h[: len(used)][used]])
-    first = np.cumsum(used)[starts]
-    i = np.zeros((REPEATS, count), dtype="int64")
-    out = np.repeat(np.arange(1, REPEATS + 1, dtype="uint64")[:, None], count, axis=1)
-    bits, shift = None, np.arange(REPEATS)[:, None] * len(flat)
-    for step in range(int(places.max()) + 1):
-        if step % 64 == 0:
-            bits = _mix(flat * seeds[:, step // 64, None]).ravel()
-        at = first + i
-        if step >= size:
-            at[i == size] = 0
-        for r, k in np.argwhere(places == step):
-            out[r] = _mix(out[r] * _ODD + flat[at[r]] + np.uint64(k))
-        at += shift
-        i += ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).view("int64")
-        if step + 1 > size:
-            np.minimum(i, size, out=i)
+def plain(text: str | None) -> str:
+    """The words of a text, lower-cased, with one space between."""
+    return _GAP.sub(" ", text.lower()).strip(" ") if text else ""
+
+
+def limit_of(length: int) -> int:
+    return int((1 - MIN_SIMILARITY) * length + 1e-9)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+# ---- the embedding ------------------------------------------------------------------------------------------------
+
+
+def _bits() -> tuple[np.ndarray, np.ndarray]:
+    """For each walk: a word for each of 256 classes of characters, whose bit number s is the walk's random bit at step s; and the
+    steps at which it is sampled."""
+    rng = np.random.default_rng(7)
+    places = np.array([np.sort(rng.choice(STEPS, SAMPLES, replace=False)) for _ in range(WALKS)])
+    return rng.integers(0, 1 << 63, size=(WALKS, 256), dtype="uint64") * np.uint64(2) + rng.integers(0, 2, size=(WALKS, 256), dtype="uint64"), places
+
+
+_BITS, _PLACES = _bits()
+
+
+def word_starts(codes: np.ndarray) -> np.ndarray:
+    gap = (codes == 32) | (codes == 10)
+    return np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | (codes >= UNSPACED)))
+
+
+def signatures(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """WALKS rows: the sampled places of each part's embedding, hashed. All parts take a step at a time. Beyond the end stands 0."""
+    kinds = np.concatenate([codes.astype(np.uint8), np.zeros(STEPS + 1, dtype=np.uint8)])
+    out = np.empty((WALKS, len(starts)), dtype="uint64")
+    for walk in range(WALKS):
+        sampled, bits = set(_PLACES[walk].tolist()), _BITS[walk][kinds]
+        for k in range(0, len(starts), AT_ONCE):
+            at = starts[k : k + AT_ONCE].copy()
+            sig = np.full(len(at), walk + 1, dtype="uint64")
+            here, bit = np.empty(len(at), dtype="uint64"), np.empty(len(at), dtype="uint64")
+            for step in range(max(sampled) + 1):
+                np.take(bits, at, out=here, mode="clip")
+                if step in sampled:
+                    sig *= _ODD
+                    sig += here
+                np.right_shift(here, np.uint64(step), out=bit)
+                bit &= np.uint64(1)
+                at += bit.view("int64")
+            out[walk, k : k + AT_ONCE] = (sig ^ (sig >> np.uint64(29))) * _M1
     return out
 
 
+# ---- edit distance ------------------------------------------------------------------------------------------------
+
+
 def edit_match(pattern: str, text: str) -> tuple[int, int]:
     """(least edit distance of pattern to any substring of text, where the first such substring ends). Bit-parallel, a column at a time."""
     m = len(pattern)
@@ -140,84 +140,48 @@ def edit_match(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def limit_of(length: int) -> int:
-    return int((1 - MIN_SIMILARITY) * length + 1e-9)
-
-
-def codes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-
-
-def run_hashes(codes: np.ndarray) -> np.ndarray:
-    """A hash of each run of RUN (8) characters, by doubling."""
-    h, k, factor = codes.astype("uint64"), 1, int(_ODD)
-    while k < RUN:
-        h = h[:-k] * np.uint64(factor) + h[k:]
-        k, factor = 2 * k, factor * factor & 0xFFFFFFFFFFFFFFFF
-    return h * _M1
-
-
 @dataclass
-class Runs:
-    """The items' runs of characters, and their pieces for comparison."""
+class Pieces:
+    """The items' pieces for comparison, those of an item one behind the other."""
 
-    bits: int
-    seen: np.ndarray  # by the high bits of a hash: some run has them
-    hashes: np.ndarray  # ascending, distinct
-    firsts: np.ndarray  # for each hash, where its runs begin
-    counts: np.ndarray
-    item: np.ndarray  # for each run, by hash
-    place: np.ndarray
-    piece: np.ndarray
     letters: np.ndarray  # code to a number, 0 for what no item has
     masks: np.ndarray  # for each piece and letter, where the letter stands
-    begins: np.ndarray  # for each piece
+    begins: np.ndarray  # in the item
     lengths: np.ndarray
+    first: np.ndarray  # for each item its first piece, and one more
+    limits: np.ndarray  # for each item
 
 
-def runs_of(texts: list[str]) -> Runs:
+def pieces_of(texts: list[str]) -> Pieces:
     coded = [codes_of(t) for t in texts]
     alphabet = np.unique(np.concatenate(coded)) if coded else np.empty(0, dtype="uint32")
     letters = np.zeros(int(alphabet[-1]) + 2 if len(alphabet) else 1, dtype="int64")
     letters[alphabet] = np.arange(1, len(alphabet) + 1)
-    hashes, item, place, piece, masks, begins, lengths = [], [], [], [], [], [], []
-    for k, c in enumerate(coded):
+    masks, begins, lengths, first = [], [], [], [0]
+    for c in coded:
         parts = -(-len(c) // PIECE_CHARS)
-        edges = np.arange(parts + 1) * len(c) // parts
-        n = max(0, len(c) - RUN + 1)
-        if n:
-            hashes.append(run_hashes(c))
-            item.append(np.full(n, k))
-            place.append(np.arange(n))
-            # a run belongs to the piece that holds its middle
-            piece.append(len(begins) + np.searchsorted(edges, np.arange(n) + RUN // 2, side="right") - 1)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        edges = (np.arange(parts + 1) * len(c) // parts).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
             own = np.zeros(len(alphabet) + 1, dtype="uint32")
             np.bitwise_or.at(own, letters[c[a:b]], np.uint32(1) << np.arange(b - a, dtype="uint32"))
             masks.append(own)
             begins.append(a)
             lengths.append(b - a)
-    flat = [np.concatenate(x) if x else np.empty(0, dtype="int64") for x in (hashes, item, place, piece)]
-    order = np.argsort(flat[0], kind="stable")
-    h, item, place, piece = (x[order] for x in flat)
-    h, firsts, counts = np.unique(h.astype("uint64"), return_index=True, return_counts=True)
-    bits = min(28, max(20, len(h).bit_length() + 4))
-    seen = np.zeros(1 << bits, dtype=bool)
-    seen[h >> np.uint64(64 - bits)] = True
-    return Runs(bits, seen, h, firsts, counts, item, place, piece, letters, np.array(masks, dtype="uint32"), np.array(begins, dtype="int64"), np.array(lengths, dtype="int64"))
+        first.append(len(begins))
+    return Pieces(letters, np.array(masks, dtype="uint32").reshape(-1, len(alphabet) + 1), np.array(begins, dtype="int64"), np.array(lengths, dtype="int64"), np.array(first, dtype="int64"), np.array([limit_of(len(t)) for t in texts], dtype="int64"))
 
 
-def least_distances(runs: Runs, codes: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """For each pair of a piece and the place in codes where it is expected, the least edit distance of the piece to a part of the
-    text there. As edit_match, for many pieces at a time."""
-    one, length = np.uint32(1), runs.lengths[piece].astype("int32")
-    width, margin = runs.masks.shape[1], limit_of(PIECE_CHARS) + NEXT
-    masks, row, top = runs.masks.ravel(), piece * width, (length - 1).astype("uint32")
+def least_distances(pieces: Pieces, coded: np.ndarray, at: np.ndarray, piece: np.ndarray, margin: int) -> np.ndarray:
+    """For each pair of a piece and the place in coded (letters' numbers) where it is expected, the least edit distance of the piece to
+    a part of the text from margin before to margin behind, all within coded. As edit_match, for many pieces at a time."""
+    one, length = np.uint32(1), pieces.lengths[piece].astype("int32")
+    width = pieces.masks.shape[1]
+    masks, row, top = pieces.masks.ravel(), piece * width, (length - 1).astype("uint32")
     pv, mv, score, best = np.full(len(at), ~np.uint32(0)), np.zeros(len(at), dtype="uint32"), length.copy(), length.copy()
-    codes = np.concatenate([np.zeros(margin, dtype="int64"), codes, np.zeros(PIECE_CHARS + margin, dtype="int64")])
-    at = np.clip(at + margin, margin, len(codes) - PIECE_CHARS - margin)
-    for j in range(-margin, PIECE_CHARS + margin):
-        eq = masks[row + codes[at + j]]
+    at = at - margin
+    for _ in range(PIECE_CHARS + 2 * margin):
+        eq = masks[row + coded[at]]
+        at += 1
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv), pv & xh
@@ -228,167 +192,170 @@ def least_distances(runs: Runs, codes: np.ndarray, at: np.ndarray, piece: np.nda
     return best
 
 
-def near_runs(texts: list[str], runs: Runs) -> Iterator[tuple[int, int, int]]:
-    """(text, item, where the item would begin, in characters) for each place where a piece of an item is near."""
-    if not len(runs.hashes):
-        return
-    limits = np.array([limit_of(n) for n in runs.lengths.tolist()])
-    k = 0
-    while k < len(texts):
-        first, size = k, 0
-        while k < len(texts) and (k == first or size + len(texts[k]) <= CHARS):
-            size, k = size + len(texts[k]) + 1, k + 1
-        codes = codes_of("\n".join(texts[first:k]))  # no item has a line feed
-        if len(codes) < RUN:
-            continue
-        h = run_hashes(codes)
-        at = np.flatnonzero(runs.seen[h >> np.uint64(64 - runs.bits)])
-        h = h[at]
-        which = np.minimum(np.searchsorted(runs.hashes, h), len(runs.hashes) - 1)
-        same = runs.hashes[which] == h
-        at, a, n = at[same], runs.firsts[which[same]], runs.counts[which[same]]
-        at = np.repeat(at, n)
-        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        begin = at - runs.place[hit]  # where the item would begin
-        order = np.argsort((runs.item[hit] << 40) + begin + (1 << 30))
-        at, hit, begin = at[order], hit[order], begin[order]
-        item = runs.item[hit]
-        pair = np.flatnonzero((item[1:] == item[:-1]) & (begin[1:] - begin[:-1] <= DRIFT))
-        both = np.zeros(len(at), dtype=bool)
-        both[pair] = both[pair + 1] = True
-        at, hit, begin, item = at[both], hit[both], begin[both], item[both]
-        if not len(at):
-            continue
-        # one comparison for each piece and NEXT places: the margin covers those next to it
-        _, once = np.unique((runs.piece[hit] << 40) + (begin + (1 << 30)) // NEXT, return_index=True)
-        at, hit, begin, item = at[once], hit[once], begin[once], item[once]
-        ends = np.cumsum([len(t) + 1 for t in texts[first:k]])
-        coded = runs.letters[np.minimum(codes, len(runs.letters) - 1)]
-        for x in range(0, len(at), COMPARED):
-            piece = runs.piece[hit[x : x + COMPARED]]
-            good = np.flatnonzero(least_distances(runs, coded, begin[x : x + COMPARED] + runs.begins[piece], piece) <= limits[piece])
-            for g in (good + x).tolist():
-                d = int(np.searchsorted(ends, at[g], side="right"))
-                yield first + d, int(item[g]), int(begin[g] - ends[d] + len(texts[first + d]) + 1)
+def possible(pieces: Pieces, coded: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which windows can hold their item within its limit: pieces' least distances, each looked for as far around its place as the
+    limit lets it move, sum to the limit at most. Windows of items of like size are compared together."""
+    out = np.zeros(len(item), dtype=bool)
+    edge = PIECE_CHARS + 2 * (int(pieces.limits.max()) + NEXT)  # an item is five times its limit: what begins further out can't hold it
+    coded = np.concatenate([np.zeros(edge, dtype=coded.dtype), coded, np.zeros(edge + 6 * int(pieces.limits.max()) + PIECE_CHARS, dtype=coded.dtype)])
+    begin = np.maximum(begin, -int(pieces.limits.max()) - NEXT) + edge
+    order = np.argsort(pieces.limits[item], kind="stable")
+    for k in range(0, len(order), COMPARED):
+        live = order[k : k + COMPARED]
+        spent, nth = np.zeros(len(live), dtype="int64"), 0
+        count = (pieces.first[1:] - pieces.first[:-1])[item[live]]
+        while len(live):
+            done = count <= nth
+            out[live[done]] = True
+            live, spent, count = live[~done], spent[~done], count[~done]
+            if not len(live):
+                break
+            # from both ends inwards: what meets an item by one draw differs most away from it
+            p = pieces.first[item[live]] + np.where(nth % 2, count - 1 - nth // 2, nth // 2)
+            margin = int(pieces.limits[item[live]].max()) + NEXT
+            spent = spent + least_distances(pieces, coded, begin[live] + pieces.begins[p], p, margin)
+            good = spent <= pieces.limits[item[live]]
+            live, spent, count, nth = live[good], spent[good], count[good], nth + 1
+    return out
+
+
+# ---- the search ---------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Items:
-    """A block of items: its size classes (numbers of words), and what finds them."""
+    """A block of items and what finds them."""
 
     ids: list
     texts: list[str]
-    sizes: list[int]
-    classes: list[int]
-    pair_hashes: np.ndarray  # ascending
-    pair_classes: list[np.ndarray]  # for each class, which of pair_hashes its items have
-    tables: list[tuple[np.ndarray, np.ndarray]]  # for each class, signatures (ascending) and their items
-    runs: Runs
+    short: ahocorasick.Automaton | None  # finds the items that are looked for verbatim
+    bits: int
+    seen: np.ndarray  # by the high bits of a signature: some part has them
+    known: np.ndarray  # signatures, ascending, distinct
+    firsts: np.ndarray  # for each, where its parts begin
+    counts: np.ndarray
+    item: np.ndarray  # for each part, by signature
+    place: np.ndarray
+    pieces: Pieces
 
 
 def items_of(rows: list[tuple[int, str]]) -> Items:
-    rows = [(i, w) for i, w in ((i, words_of(t)) for i, t in rows) if len(w) >= MIN_ITEM_WORDS]
-    sizes = [len(w) for _, w in rows]
-    classes = sorted(set(sizes))
-    hashed = [hashes_of(w) for _, w in rows]
-    own = [np.unique(np.concatenate([pairs(h) for h, n in zip(hashed, sizes, strict=True) if n == c])) for c in classes]
-    known = np.unique(np.concatenate(own)) if own else np.empty(0, dtype="uint64")
-    tables = []
-    for c in classes:
-        members = [k for k, n in enumerate(sizes) if n == c]
-        sig = signatures(np.concatenate([hashed[k] for k in members]), np.arange(len(members)) * c, c)
-        flat, who = sig.ravel(), np.tile(np.array(members), REPEATS)
-        order = np.argsort(flat, kind="stable")
-        tables.append((flat[order], who[order]))
-    return Items([i for i, _ in rows], [" ".join(w) for _, w in rows], sizes, classes, known, [np.isin(known, x) for x in own], tables, runs_of([" ".join(w) for _, w in rows]))
-
-
-def gated(at: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Starts of windows of size words with enough known pairs. at: places of known pairs (ascending; a text's places lie in
-    [begins, ends) of its text, given for each of them)."""
-    need = max(2, int(np.ceil(GATE * (size - 1))))
-    if len(at) < need:
-        return np.empty(0, dtype="int64")
-    first, last = at[: len(at) - need + 1], at[need - 1 :]
-    close = (last - first <= size - 2) & (begins[: len(first)] == begins[need - 1 :])
-    low = np.maximum(last[close] - size + 2, begins[: len(first)][close])  # the windows that hold both ends
-    high = first[close]
-    low = np.minimum(low, high)
-    if not len(low):
-        return low
-    spans = high - low + 1
-    out = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-    return np.unique(out)
+    rows = [(i, p) for i, p in ((i, plain(t)) for i, t in rows) if p]
+    short: dict[str, list[int]] = {}
+    sigs, item, place = [], [], []
+    for k, (_, text) in enumerate(rows):
+        if len(text) < SHORT:
+            short.setdefault(text, []).append(k)
+            continue
+        codes = codes_of(text)
+        starts = word_starts(codes)
+        starts = starts[(starts + LEAST_PART <= len(codes)) | (starts == 0)]
+        sigs.append(signatures(codes, starts).ravel())
+        item.append(np.full(WALKS * len(starts), k))
+        place.append(np.tile(starts, WALKS))
+    flat = [np.concatenate(x) if x else np.empty(0, dtype="int64") for x in (sigs, item, place)]
+    order = np.argsort(flat[0], kind="stable")
+    h, item, place = (x[order] for x in flat)
+    h, firsts, counts = np.unique(h.astype("uint64"), return_index=True, return_counts=True)
+    bits = min(28, max(20, len(h).bit_length() + 4))
+    seen = np.zeros(1 << bits, dtype=bool)
+    seen[h >> np.uint64(64 - bits)] = True
+    return Items([i for i, _ in rows], [t for _, t in rows], automaton(short), bits, seen, h, firsts, counts, item, place, pieces_of([t for _, t in rows]))
+
+
+def windows(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item, where it would begin) of the windows that a draw of the LSH says are near an item; one of those within NEXT."""
+    empty = np.empty(0, dtype="int64")
+    if not len(items.known):
+        return empty, empty
+    starts, found = word_starts(codes), []
+    for sig in signatures(codes, starts):
+        at = np.flatnonzero(items.seen[sig >> np.uint64(64 - items.bits)])
+        h = sig[at]
+        which = np.minimum(np.searchsorted(items.known, h), len(items.known) - 1)
+        same = items.known[which] == h
+        at, a, n = starts[at[same]], items.firsts[which[same]], items.counts[which[same]]
+        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        found.append((items.item[hit] << 40) + ((np.repeat(at, n) - items.place[hit] + (1 << 30)) // NEXT))
+    once = np.unique(np.concatenate(found)) if found else empty
+    return once >> 40, (once & ((1 << 40) - 1)) * NEXT - (1 << 30)
+
+
+def automaton(short: dict[str, list[int]]) -> ahocorasick.Automaton | None:
+    if not short:
+        return None
+    out = ahocorasick.Automaton()
+    for text, members in short.items():
+        out.add_word(text, (len(text), members))
+    out.make_automaton()
+    return out
+
+
+def verbatim(text: str, short: ahocorasick.Automaton) -> Iterator[tuple[int, int]]:
+    """(item, place) of the short items that stand in a text, as whole words."""
+    for last, (n, members) in short.iter(text):
+        at, end = last + 1 - n, last + 1
+        before, behind = at == 0 or text[at - 1] == " " or ord(text[at]) >= UNSPACED, end == len(text) or text[end] == " " or ord(text[last]) >= UNSPACED
+        if before and behind:
+            yield from ((k, at) for k in members)
+
+
+def parts_of(texts: list[str], overlap: int) -> Iterator[list[tuple[int, int, str]]]:
+    """Slices of (text, offset, characters), about CHARS in each: a longer text comes in parts that overlap."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - overlap), CHARS):
+            part = text[at : at + CHARS + overlap]
+            held.append((k, at, part))
+            size += len(part)
+            if size >= CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, float, int]]:
-    """(text, item, distance, similarity, first word) for each text and item that match, by both."""
+    """(text, item, distance, similarity, first word) for each text and item that match."""
     if not items.ids:
         return []
-    split = [words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in split], dtype="int64")
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    if not len(ends) or not ends[-1]:
-        return []
-    h = np.concatenate([hashes_of(w) for w in split if w])
-    p = pairs(h)
-    found = np.minimum(np.searchsorted(items.pair_hashes, p), len(items.pair_hashes) - 1)
-    at = np.flatnonzero(items.pair_hashes[found] == p)
-    doc = np.searchsorted(ends, at, side="right")
-    inside = at + 1 < ends[doc]  # not the last word of one text and the first of the next
-    at, doc, kind = at[inside], doc[inside], found[at][inside]
-    h = np.concatenate([h, np.zeros(max(items.classes) + 1, dtype="uint64")])
-    near: dict[tuple[int, int], list[int]] = {}
-    for c, size in enumerate(items.classes):
-        mine = items.pair_classes[c][kind]
-        if not mine.any():
+    longest = max(map(len, items.texts))
+    own = [plain(t) for t in texts]
+    best: dict[tuple[int, int], tuple[int, int]] = {}  # distance and place
+    if items.short is not None:
+        for d, text in enumerate(own):
+            for k, at in verbatim(text, items.short):
+                best.setdefault((d, k), (0, at))
+    for part in parts_of(own, 2 * longest + STEPS):
+        codes = codes_of("\n".join(t for _, _, t in part))  # no item has a line feed
+        item, begin = windows(codes, items)
+        if not len(item):
             continue
-        starts = gated(at[mine], begins[doc[mine]], ends[doc[mine]], size)
-        known, who = items.tables[c]
-        for k in range(0, len(starts), PIECE):
-            part = starts[k : k + PIECE]
-            for sig in signatures(h, part, size):
-                a, b = np.searchsorted(known, sig, side="left"), np.searchsorted(known, sig, side="right")
-                for s, x, y in zip(part[a < b].tolist(), a[a < b].tolist(), b[a < b].tolist(), strict=True):
-                    d = int(np.searchsorted(ends, s, side="right"))
-                    for item in set(who[x:y].tolist()):
-                        near.setdefault((d, item), []).append(s - int(begins[d]))
-    plain = [" ".join(w) for w in split]
-    by_runs: dict[tuple[int, int], list[int]] = {}
-    for d, item, begin in near_runs(plain, items.runs):
-        by_runs.setdefault((d, item), []).append(begin)
-    out = []
-    for d, item in sorted(near.keys() | by_runs.keys()):
-        pattern, size, best = items.texts[item], items.sizes[item], None
-        limit, slack, starts = limit_of(len(pattern)), items.sizes[item] // 2 + 2, near.get((d, item), [])
-        starts.sort()
-        k = 0
-        while k < len(starts):  # windows that overlap are verified as one stretch of text
-            a, b = starts[k], starts[k]
-            while k < len(starts) and starts[k] <= b + size:
-                b, k = starts[k], k + 1
-            a = max(0, a - slack)
-            distance, end = edit_match(pattern, " ".join(split[d][a : b + size + slack]))
-            if distance <= limit and (best is None or distance < best[0]):
-                best = distance, a
-        begun = sorted(by_runs.get((d, item), []))
-        k = 0
-        while k < len(begun):  # the same in characters; edits move the ends of a passage by the limit at most
-            a, b = begun[k], begun[k]
-            while k < len(begun) and begun[k] <= b + len(pattern):
-                b, k = begun[k], k + 1
-            a = max(0, a - limit - DRIFT)
-            distance, _ = edit_match(pattern, plain[d][a : b + len(pattern) + limit + DRIFT])
-            if distance <= limit and (best is None or distance < best[0]):
-                best = distance, plain[d].count(" ", 0, a)
-        if best:
-            out.append((d, item, best[0], 1 - best[0] / len(pattern), best[1]))
-    return out
+        coded = items.pieces.letters[np.minimum(codes, len(items.pieces.letters) - 1)]
+        good = possible(items.pieces, coded, item, begin)
+        ends = np.cumsum([len(t) + 1 for _, _, t in part])
+        near: dict[tuple[int, int], list[int]] = {}
+        for k, at in zip(item[good].tolist(), begin[good].tolist(), strict=True):
+            # a window that begins a little before its text belongs to the text that holds its middle
+            d = min(int(np.searchsorted(ends, max(0, at + len(items.texts[k]) // 2), side="right")), len(part) - 1)
+            near.setdefault((d, k), []).append(at - int(ends[d]) + len(part[d][2]) + 1)
+        for (d, k), begins in sorted(near.items()):
+            pattern, (doc, offset, text) = items.texts[k], part[d]
+            limit, x = limit_of(len(pattern)), 0
+            begins.sort()
+            while x < len(begins):  # windows that overlap are verified as one stretch; edits move its ends by the limit at most
+                a, b = begins[x], begins[x]
+                while x < len(begins) and begins[x] <= b + len(pattern):
+                    b, x = begins[x], x + 1
+                a = max(0, a - limit - NEXT)
+                distance, _ = edit_match(pattern, text[a : max(0, b + len(pattern) + limit + 2 * NEXT)])
+                if distance <= limit and ((doc, k) not in best or (distance, offset + a) < best[doc, k]):
+                    best[doc, k] = (distance, offset + a)
+    return [(d, k, n, 1 - n / len(items.texts[k]), own[d].count(" ", 0, at)) for (d, k), (n, at) in sorted(best.items())]
 
 
 def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Items]:
-    """The items, ITEMS_PER_BLOCK at a time: at no time more than a block on the driver or in a task."""
+    """The items, ITEMS_PER_BLOCK at a time: at no time more than a block in the driver's memory or in a task's."""
     held: list[tuple[int, str]] = []
     for row in items.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull()).orderBy(key, text).toLocalIterator():
         held.append((row[0], row[1]))
@@ -410,11 +377,11 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     for block in blocks(items):
         sent = spark.sparkContext.broadcast(block)
 
+        @base.relieved
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for batch in batches:
-                for k in range(0, batch.num_rows, TEXTS):
-                    part = batch.slice(k, TEXTS)
+                for part in base.slices(batch, 1, CHARS):
                     found = search(part.column(1).to_pylist(), own)
                     keys = part.column(0)
                     yield pa.RecordBatch.from_arrays(
@@ -440,11 +407,11 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 def _without(docs: DataFrame, sent, text: str) -> DataFrame:
     place = docs.columns.index(text)
 
+    @base.relieved
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(k, TEXTS)
+            for part in base.slices(batch, place, CHARS):
                 bad = {f[0] for f in search(part.column(place).to_pylist(), own)}
                 yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 

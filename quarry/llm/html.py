@@ -1,14 +1,22 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
-A page is a sequence of tokens: words and tags. Elements that cannot be the article (menus, footers, forms, scripts,
-adverts, comments and the like, by tag, role, class or id) are passed over. Of the rest, words score positive
-and tags negative, and one linear scan finds the contiguous run of tokens with the greatest sum: the content region,
-of which all words are returned. The weights come from labelled pages: pages with one article element say
-of each of their tokens whether it is content. They are fitted to a bounded sample, FIT_PAGES pages.
+A page is a sequence of tokens: words and tags. Words score positive and tags negative, and one linear scan finds the contiguous
+run of tokens with the greatest sum: the content region, of which the words are returned. A tag is known by its name, or by its name and
+each of its class and id words (`div.ad`); its weight is the greatest of these.
 
-Defined cases: a null, empty or wordless page has an empty text; unclosed elements end with the page, and cut tags
+The weights come from labelled pages, pages with one article element, which says of each of their tokens whether it is content. They start as
+log odds that a tag stands outside the article. Then, page by page, where the best region with the weights so far reaches beyond the
+article, the tags it passes there are made dearer, until they outweigh MARGIN times the words that they let in. A sample of FIT_PAGES
+pages is fitted to, of FIT_BYTES each at most. An element with class or id words whose tags cost more than its words bring is dear: its words
+score negative too, and where it stands between words of the region they are left out.
+
+What the scan never sees is what is no text (scripts, styles, comments of the markup) and the elements that are not the article by
+definition, by tag or role (menus, headers and footers of the page, asides, forms, what is hidden); class and id words decide by
+their weights, but for such names of these parts (WORDS_FOR) as no labelled page has.
+
+Defined cases: a null, empty or wordless page has an empty text; unclosed elements end with the one around them, and cut tags
 are dropped; of equal best regions the first is taken; repeated rows are pages of their own; an empty table gives
-an empty result.
+an empty result; without labelled pages every tag costs LEAST_LOSS; an input column that is called `_h_text` is replaced.
 """
 
 from __future__ import annotations
@@ -16,19 +24,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
-from typing import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.llm import base
 
-FIT_PAGES = 200
+FIT_PAGES, FIT_BYTES, FIT_ROUNDS = 200, 1 << 18, 20
 #: Least loss for a tag: the scan then never prefers markup without words.
-LEAST_LOSS, MOST_LOSS, WORD_GAIN = 0.01, 3.0, 1.0
+LEAST_LOSS, MOST_ODDS, WORD_GAIN, MARGIN = 0.01, 3.0, 1.0, 4.0
 
 # Elements of HTML by their role.
 DROPPED = frozenset("nav footer aside form button select textarea script style noscript template iframe object svg canvas dialog menu head title audio video map datalist fieldset label option".split())
@@ -36,10 +45,7 @@ RAW = frozenset("script style textarea title noscript iframe template svg".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 IMPLIED_END = frozenset("p li dt dd".split())
-_CLASS = re.compile(
-    r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|site-header|page-header|topbar|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip-link|alert)(?=$|[\s_-])",
-    re.I,
-)
+WORDS_FOR = frozenset("menu navigation navbar breadcrumb breadcrumbs sidebar masthead footer notice cookie-notice cookie-banner advert advertisement adverts sponsored comments comment comment-list newsletter".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -48,30 +54,41 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
-def _dropped(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article or main element, whose own header is part of it."""
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
-    if not attrs.strip() or tag in ("html", "body", "main"):
-        return False
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
-    if found.get("role", "").lower() in _ROLE:
-        return True
-    return bool(_CLASS.search(found.get("class", "")) or _CLASS.search(found.get("id", "")))
+class Token(NamedTuple):
+    """A run of text, or a tag with the keys of its element."""
+
+    text: str
+    tag: str = ""
+    closing: bool = False
+    keys: tuple[str, ...] = ()
+
+
+def _element(tag: str, attrs: str, inside: bool, weights: dict[str, float] | None) -> tuple[tuple[str, ...], bool]:
+    """(keys, whether it can't be content). inside: within an article or main element, whose own header is part of it."""
+    never = tag in DROPPED or (tag == "header" and not inside)
+    if not attrs.strip("/ \t\r\n"):
+        return (tag,), never
+    found = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
+    words = [w.lower() for w in [*found.get("class", "").split(), found.get("id", "")] if w]
+    keys = tuple(f"{tag}.{w}" for w in words) or (tag,)
+    if tag in ("html", "body", "main", "article"):
+        return keys, never
+    never |= "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
+    never |= found.get("role", "").lower() in _ROLE
+    return keys, never or (weights is not None and any(w in WORDS_FOR and f"{tag}.{w}" not in weights for w in words))
 
 
-def tokens(html: str) -> Iterator[tuple[str, str]]:
-    """("", text) and (tag, "") in page order, without what is dropped. A closing tag is "/name"."""
+def tokens(html: str, weights: dict[str, float] | None) -> Iterator[Token]:
+    """Text and tags in page order, without what can't be content. weights: None while they are still to be learned."""
     skip, depth, inside, at, end = "", 0, 0, 0, len(html)
+    opened: list[tuple[str, tuple[str, ...]]] = []
     while at < end:
         m = _TOKEN.match(html, at)
         at = m.end()
         text = m.group(7)
         if text is not None:
             if not skip:
-                yield "", text
+                yield Token(text)
             continue
         tag = m.group(2) or m.group(5)
         if tag is None:  # a comment, a declaration, a cut tag
@@ -87,39 +104,65 @@ def tokens(html: str) -> Iterator[tuple[str, str]]:
             if depth > 0:
                 continue
             was, skip = skip, ""
-            yield "/" + was, ""
+            yield Token("", was, True, (was,))
             if closing and tag == was:
                 continue
         if tag in ("article", "main"):
             inside = max(0, inside + (-1 if closing else 1))
-        if not closing and tag not in VOID and _dropped(tag, attrs, inside > (tag in ("article", "main"))):
-            if tag in RAW:  # up to its closing tag nothing is markup
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end
-                yield tag, ""
-            elif not attrs.endswith("/"):
-                skip, depth = tag, 1
-                yield tag, ""
+        if closing:
+            keys = (tag,)
+            if any(t == tag for t, _ in opened):
+                while opened:  # what is still open within ends with it
+                    t, keys = opened.pop()
+                    if t == tag:
+                        break
+            yield Token("", tag, True, keys)
             continue
-        yield ("/" + tag if closing else tag), ""
+        keys, never = _element(tag, attrs, inside > (tag in ("article", "main")), weights)
+        if tag in VOID:
+            yield Token("", tag, False, keys)
+        elif never and tag in RAW:  # up to its closing tag nothing is markup
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = close.end() if close else end
+            yield Token("", tag, False, (tag,))
+        elif never:
+            if not attrs.endswith("/"):
+                skip, depth = tag, 1
+            yield Token("", tag, False, (tag,))
+        else:
+            opened.append((tag, keys))
+            yield Token("", tag, False, keys)
 
 
-def fit(pages: list[str]) -> dict[str, float]:
-    """Loss by tag name: from the log odds that a tag of labelled pages stands outside their article."""
-    inner, outer = Counter(), Counter()
-    for html in pages:
-        if len(re.findall(r"<article[\s>]", html, re.I)) != 1:
+def costs(parts: list[Token], weights: dict[str, float]) -> list[float]:
+    return [-max(weights.get(k, LEAST_LOSS) for k in t.keys) if t.tag else WORD_GAIN * len(t.text.split()) for t in parts]
+
+
+def dear(parts: list[Token], scores: list[float]) -> list[tuple[int, int]]:
+    """[from, to) of the elements with class or id words whose tags cost more than their words bring."""
+    sums, opened, out = [0.0, *accumulate(scores)], [], []
+    for i, t in enumerate(parts):
+        if not t.tag or t.tag in VOID:
             continue
-        within = False
-        for tag, _ in tokens(html):
-            if tag == "article":
-                within = True
-            elif tag == "/article":
-                within = False
-            elif tag:
-                (inner if within else outer)[tag.lstrip("/")] += 1
-    known = set(inner) | set(outer)
-    return {t: min(MOST_LOSS, max(LEAST_LOSS, math.log((outer[t] + 1) / (inner[t] + 1)))) for t in known}
+        if not t.closing:
+            opened.append((i, t))
+        elif any(o.tag == t.tag for _, o in opened):
+            while opened:
+                at, o = opened.pop()
+                if "." in o.keys[0] and sums[i + 1] < sums[at]:
+                    out.append((at, i + 1))
+                if o.tag == t.tag:
+                    break
+    return out
+
+
+def scored(parts: list[Token], weights: dict[str, float]) -> list[float]:
+    """Words of a dear element are no gain: they score as much below zero as others above."""
+    scores = costs(parts, weights)
+    for a, b in dear(parts, scores):
+        for i in range(a, b):
+            scores[i] = -abs(scores[i])
+    return scores
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -134,32 +177,78 @@ def region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
+def left_out(parts: list[Token], weights: dict[str, float], a: int, b: int) -> set[int]:
+    """The tokens of [a, b) that stand in a dear element between words of the region."""
+    out: set[int] = set()
+    said = [i for i in range(a, b) if not parts[i].tag and parts[i].text.strip()]
+    for x, y in dear(parts, costs(parts, weights)):
+        if said and said[0] < x and y <= said[-1]:
+            out.update(range(x, y))
+    return out
+
+
+def fit(pages: list[str]) -> dict[str, float]:
+    """Loss by tag, of labelled pages."""
+    inner, outer, known = Counter(), Counter(), []
+    for html in pages:
+        parts = list(tokens(html, None))
+        begins = [i for i, t in enumerate(parts) if t.tag == "article" and not t.closing]
+        if len(begins) != 1:
+            continue
+        a = begins[0]
+        b = next((i + 1 for i, t in enumerate(parts) if i > a and t.tag == "article"), len(parts))
+        for i, t in enumerate(parts):
+            if t.tag:
+                (inner if a <= i < b else outer).update(t.keys)
+        known.append((parts, a, b))
+    weights = {k: min(MOST_ODDS, max(LEAST_LOSS, math.log((outer[k] + 1) / (inner[k] + 1)))) for k in set(inner) | set(outer)}
+    for _ in range(FIT_ROUNDS):
+        moved = False
+        for parts, a, b in known:
+            scores = [x if t.tag or a <= i < b else MARGIN * x for i, (t, x) in enumerate(zip(parts, costs(parts, weights), strict=True))]
+            x, y = region(scores)
+            for span in (range(x, min(a, y)), range(max(b, x), y)):  # what it lets in before the article, and behind
+                tags = [parts[i] for i in span if parts[i].tag]
+                excess = sum(scores[i] for i in span)
+                if tags and excess > 0:
+                    moved = True
+                    for k in {max(t.keys, key=lambda k: weights.get(k, LEAST_LOSS)) for t in tags}:
+                        weights[k] += (excess + 1) / len(tags)
+        if not moved:
+            break
+    return weights
+
+
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     if not html:
         return ""
-    parts = list(tokens(html))
-    scores = [WORD_GAIN * len(text.split()) if not tag else -weights.get(tag.lstrip("/"), LEAST_LOSS) for tag, text in parts]
+    parts = list(tokens(html, weights))
+    scores = scored(parts, weights)
     a, b = region(scores)
-    # Text without markup between is one run: character references are decoded in it, inline tags do not part words.
-    out = [text if not tag else "" if tag.lstrip("/") in INLINE else "\n" for tag, text in parts[a:b]]
-    return " ".join(" ".join(unescape(x) for x in re.split("\n+", "".join(out))).split())
+    gone = left_out(parts, weights, a, b)
+    # Character references are decoded in each run of text; inline tags do not part words.
+    out = ["" if i in gone else unescape(t.text) if not t.tag else "" if t.tag in INLINE else "\n" for i, t in enumerate(parts[a:b], a)]
+    return " ".join("".join(out).split())
 
 
 def sample(pages: DataFrame, html: str = "html", key: str = "page_id") -> list[str]:
-    """FIT_PAGES pages with one article, those whose keys have the least hashes."""
-    ids = pages.filter(F.col(key).isNotNull()).select(F.col(key)).distinct().orderBy(F.xxhash64(key), key).limit(FIT_PAGES)
-    ids = [r[0] for r in ids.collect()]
-    return [r[0] for r in pages.filter(F.col(key).isin(ids)).select(html).collect() if r[0]] if ids else []
+    """FIT_PAGES pages with one article, those whose keys have the least hashes; one page for each key."""
+    one = F.regexp_count(F.col(html), F.lit(r"(?i)<article[\s>]")) == 1
+    fit_for = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).filter((F.octet_length(html) <= FIT_BYTES) & F.col(key).isNotNull() & one)
+    ids = [r[0] for r in fit_for.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(FIT_PAGES).collect()]
+    if not ids:
+        return []
+    return [r[1] for r in sorted(fit_for.filter(F.col("key").isin(ids)).groupBy("key").agg(F.min("html")).collect())]
 
 
 def extracted(pages: DataFrame, weights: dict[str, float], html: str = "html") -> DataFrame:
     """pages with their main text in _h_text."""
     base.ready(pages.sparkSession)
 
-    @F.pandas_udf(T.StringType())
-    def udf(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in it:
-            yield pd.Series([main_text(x, weights) for x in rows], dtype=object)
+            yield pa.array([main_text(x.as_py(), weights) for x in rows], pa.string())
 
     return pages.withColumn("_h_text", udf(F.col(html)))
 

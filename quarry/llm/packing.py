@@ -118,21 +118,49 @@ class LetterModel:
         return gather(flat, at, counts).astype("<u4"), counts
 
 
+#: The tokenizer's parts for which the ids of a text are those of its words, and a word of letters is one pre-token. Fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+CHECKED = 2000
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's file says what WordTokenizer builds on."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps, model = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}], spec["model"]
+    split = steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": SPLIT} and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+    level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return spec["normalizer"] == NORMALIZER and split and level and all(model.get(k, v) == v for k, v in PLAIN_MODEL.items())
+
+
 class WordTokenizer:
     """Ids of texts under a tokenizer whose pre-tokens never span white space.
 
     The tokenizer's own normalizer (NFC, white space, lower case) and pre-tokenizer work within words, so the ids of a text are
     those of its words in order. The distinct words of a slice of texts are found by Arrow's dictionary encoding, each is
     encoded once, and the texts' ids are gathered. A word of letters with punctuation behind is two pre-tokens; letters
-    in lower case go to LetterModel, everything else to the library."""
+    in lower case go to LetterModel, everything else to the library. Where the tokenizer's file says anything else, or LetterModel differs from
+    the library on CHECKED words of the vocabulary, the library encodes whole texts."""
 
     def __init__(self, path: str, kept: int = WORDS_KEPT) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = LetterModel(path)
         self.kept, self.known = kept, {}
+        self.letters = LetterModel(path) if by_words(path) else None
+        if self.letters and not self.agrees():
+            self.letters = None
+
+    def agrees(self) -> bool:
+        vocab = sorted(x for x in (w.removesuffix("</w>").lower() for w in self.whole.get_vocab()) if x.isalpha() and x.isascii())
+        few = vocab[:: max(1, len(vocab) // CHECKED)]
+        some = [a + b for a, b in zip(few, reversed(few), strict=True)]
+        got, n = self.words(pa.array(some, pa.string()))
+        want = [e.ids for e in self.whole.encode_batch(some, add_special_tokens=False)]
+        return n.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
 
     def plain(self, text: str) -> str | None:
         """In lower case, or None if a text has to be encoded whole."""
@@ -170,6 +198,8 @@ class WordTokenizer:
         return gather(np.concatenate([front, back]), at.ravel(), n.ravel()), n.sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.letters is None:
+            return [np.array(e.ids, dtype="<u4") for e in self.whole.encode_batch(texts, add_special_tokens=False)]
         low = [self.plain(t) for t in texts]
         split = pc.utf8_split_whitespace(pa.array([x or "" for x in low], pa.string()))
         coded = split.flatten().dictionary_encode()
@@ -182,15 +212,6 @@ class WordTokenizer:
         return [np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4") if x is None else ids[a:b] for t, x, a, b in zip(texts, low, cuts, cuts[1:], strict=False)]
 
 
-def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Its rows in order, about size bytes of column 1 at a time."""
-    sizes, at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype("int64")), 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -273,6 +294,7 @@ def packed(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 
+    @base.relieved
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 40
         encoder, ids, keys, sums = tokenizer(path), {}, {}, {}
@@ -280,7 +302,7 @@ def packed(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         def lengths() -> Iterator[tuple[int, int]]:
             at = 0
             for batch in batches:
-                for part in slices(batch, SLICE):
+                for part in base.slices(batch, 1, SLICE):
                     for key_, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                         ids[at] = np.append(got, np.uint32(END)).astype("<u4").tobytes()
                         keys[at], sums[at] = key_, 0

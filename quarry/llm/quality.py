@@ -11,9 +11,9 @@ they occur; an empty table gives an empty result; further columns pass through u
 from __future__ import annotations
 
 from collections import Counter
-from typing import Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +53,18 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
 def measured(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
     """docs with a column for each measure, under names that start with prefix."""
     base.ready(docs.sparkSession)
-    names = [prefix + x.split()[0] for x in MEASURES.split(", ")]
+    names = [x.split()[0] for x in MEASURES.split(", ")]
 
-    @F.pandas_udf(MEASURES)
-    def udf(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(MEASURES)
+    def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
-            yield pd.DataFrame([measure(x) for x in texts], columns=[x.split()[0] for x in MEASURES.split(", ")], dtype="int64")
+            rows = [measure(x.as_py()) for x in texts]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
+        base.relieve()
 
     hold = prefix + "all"
     out = docs.withColumn(hold, udf(F.col(text).cast("binary")))
-    return out.select(*docs.columns, *[F.col(hold)[n.removeprefix(prefix)].alias(n) for n in names])
+    return out.select(*docs.columns, *[F.col(hold)[n].alias(prefix + n) for n in names])
 
 
 def base_failed(p: str = "_q_") -> Column:
@@ -107,17 +109,17 @@ def odds(rate: Column, p: str = "_q_") -> Column:
     )
 
 
-def judged(rows: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
-    """rows (measured) with `_q_base_failed` and `_q_kept`. The host table is broadcast only when its counted
-    rows are small; beyond that the join shuffles and AQE splits the hot hosts."""
-    rates = base.bounded(hosts.select(F.col("host").alias("_q_host"), F.col("rate").alias("_q_rate")), 160)
-    out = rows.join(rates, F.col(host).eqNullSafe(F.col("_q_host")), "left")
-    bad = base_failed()
-    return out.withColumns({"_q_base_failed": bad, "_q_kept": ~bad & (odds(F.col("_q_rate")) <= 0)})
+def judged(rows: DataFrame, hosts: DataFrame, host: str, p: str = "_q_") -> DataFrame:
+    """rows (measured) with base_failed and kept, behind the prefix p. The host table is broadcast only when it is measured to be
+    small; beyond that the join shuffles and AQE splits the hot hosts."""
+    rates = base.bounded(hosts.select(F.col("host").alias(p + "host"), F.col("rate").alias(p + "rate")))
+    out = rows.join(rates, F.col(host).eqNullSafe(F.col(p + "host")), "left")
+    bad = base_failed(p)
+    return out.withColumns({p + "base_failed": bad, p + "kept": ~bad & (odds(F.col(p + "rate"), p) <= 0)})
 
 
-def host_evidence(rows: DataFrame, host: str) -> DataFrame:
-    return host_rates(rows.select(host, (base_failed() | symbols_failed() | dup_lines_failed()).alias("_q_failed")), host, "_q_failed")
+def host_evidence(rows: DataFrame, host: str, p: str = "_q_") -> DataFrame:
+    return host_rates(rows.select(F.col(host).alias("host"), (base_failed(p) | symbols_failed(p) | dup_lines_failed(p)).alias("failed")), "host", "failed")
 
 
 def score(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
@@ -129,9 +131,11 @@ def score(docs: DataFrame, text: str = "text", host: str = "source", key: str =
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass, with their own columns. Measures are computed where a row is: texts never move."""
-    rows = measured(docs, text)
-    return judged(rows, host_evidence(rows, host), host).filter("_q_kept").select(*docs.columns)
+    """The documents that pass, with their own columns. Measures are computed where a row is, once for the hosts' rates and once for the
+    verdicts: texts are neither moved nor written."""
+    p = base.prefix(docs, "_q_")
+    rows = measured(docs, text, p)
+    return judged(rows, host_evidence(rows, host, p), host, p).filter(p + "kept").select(*docs.columns)
 
 
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

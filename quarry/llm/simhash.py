@@ -14,10 +14,10 @@ other); repeated rows and equal texts share a fingerprint; an empty table gives
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,10 +48,11 @@ def fingerprint(text: bytes | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def fingerprints(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
-        yield pd.Series(np.array([fingerprint(x) for x in texts], dtype="uint64").view("int64"))
+        yield pa.array(np.array([fingerprint(x.as_py()) for x in texts], dtype="uint64").view("int64"))
+    base.relieve()
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -66,36 +67,41 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, _d_fp, _d_first): every row's fingerprint and the smallest key of its component."""
+    """(key, _d_fp, _d_root, _d_first): every row's fingerprint, its component's least fingerprint and smallest key."""
     base.ready(docs.sparkSession)
     rows = base.materialise(docs.select(F.col(key), fingerprints(F.col(text).cast("binary")).alias("_d_fp")))
-    firsts = rows.groupBy("_d_fp").agg(F.min(key).alias("first"))
-    fps = base.materialise(firsts)
+    fps = base.materialise(rows.groupBy("_d_fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")))
     edges = base.materialise(links(fps.select(F.col("_d_fp").alias("fp"))))
     # Nodes are the fingerprints that have a link; all others are components of their own.
     member = graph.components(edges)
     named = member.join(fps, member["node"] == fps["_d_fp"]).select("node", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
-    final = named.join(least, "root").select(F.col("node").alias("fp2"), "least")
-    whole = fps.join(final, F.col("_d_fp") == F.col("fp2"), "left").select(F.col("_d_fp").alias("fp3"), F.coalesce("least", "first").alias("_d_first"))
-    return rows.join(whole, F.col("_d_fp") == F.col("fp3")).select(key, "_d_fp", "_d_first")
+    final = named.join(least, "root").select(F.col("node").alias("fp2"), F.col("root").alias("root2"), "least")
+    whole = fps.join(final, F.col("_d_fp") == F.col("fp2"), "left")
+    whole = base.materialise(whole.select(F.col("_d_fp").alias("fp3"), F.coalesce("root2", "_d_fp").alias("_d_root"), F.coalesce("least", "first").alias("_d_first"), "n"))
+    return base.looked_up(rows, "_d_fp", whole, "fp3", "n").select(key, "_d_fp", "_d_root", "_d_first")
 
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of each component. Rows that share a kept key stay one; rows without a
+    """The document with the smallest key of each component: one row of each, also where keys repeat. Rows without a
     key stay, as there is nothing to choose them by.
 
     What is looked up are the keys that go (and the few that repeat), not those that stay: where they are few enough to be
     broadcast, texts do not move at all."""
-    keys = components(docs, text, key).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_d_key"))
-    keys = base.materialise(keys.agg(F.max(F.col(key) == F.col("_d_first")).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"))
-    out = docs.join(base.bounded(keys.filter("not stays").select("_d_key"), 64), F.col(key) == F.col("_d_key"), "left_anti")
-    repeated = keys.filter("stays").select("_d_key")
+    p = base.prefix(docs, "_d_")
+    known = base.materialise(components(docs, text, key).filter(F.col(key).isNotNull()))
+    keys = known.groupBy(F.col(key).alias(p + "key")).agg(F.max(F.col(key) == F.col("_d_first")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    keys = base.materialise(keys.filter("not stays or n > 1"))
+    out = docs.join(base.bounded(keys.select(p + "key")), F.col(key) == F.col(p + "key"), "left_anti")
+    repeated = keys.filter("stays and n > 1").select(p + "key")
     if repeated.isEmpty():
         return out
-    repeated = base.bounded(repeated, 64)
-    again = out.join(repeated, F.col(key) == F.col("_d_key"), "left_semi").dropDuplicates([key])
-    return out.join(repeated, F.col(key) == F.col("_d_key"), "left_anti").unionByName(again)
+    # A key that repeats is judged by row: its fingerprint says to which component it belongs.
+    chosen = known.filter(F.col(key) == F.col("_d_first")).join(base.bounded(repeated), F.col(key) == F.col(p + "key"), "left_semi")
+    chosen = chosen.select(F.col(key).alias(p + "key"), F.col("_d_fp").alias(p + "fp"), F.col("_d_root").alias(p + "root")).distinct()
+    again = docs.join(base.bounded(repeated), F.col(key) == F.col(p + "key"), "left_semi").withColumn(p + "own", fingerprints(F.col(text).cast("binary")))
+    again = again.join(chosen, (F.col(key) == F.col(p + "key")) & (F.col(p + "own") == F.col(p + "fp"))).dropDuplicates([key, p + "root"])
+    return out.unionByName(again.select(*docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,10 @@ Defined cases: texts without words, and rows without a key, are no copies of any
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,33 +45,36 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _bands(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
-        yield pd.Series([bands(shingles(x)) for x in texts])
+        yield pa.array([bands(shingles(x.as_py())) for x in texts], pa.list_(pa.int64()))
+    base.relieve()
 
 
-@F.pandas_udf(T.BinaryType())
-def _sets(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.BinaryType())
+def _sets(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
-        yield pd.Series([shingles(x).tobytes() for x in texts])
+        yield pa.array([shingles(x.as_py()).tobytes() for x in texts], pa.binary())
+    base.relieve()
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.BooleanType())
+def _similar(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in it:
         out = []
         for x, y in zip(left, right, strict=True):
-            a, b = np.frombuffer(x, dtype="uint64"), np.frombuffer(y, dtype="uint64")
+            a, b = np.frombuffer(x.as_py(), dtype="uint64"), np.frombuffer(y.as_py(), dtype="uint64")
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(both >= MIN_SIMILARITY * (len(a) + len(b) - both) - 1e-9)
-        yield pd.Series(out)
+        yield pa.array(out, pa.bool_())
+    base.relieve()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """The pairs (a, b) that are near copies. Sets are made of the texts that are in a pair only."""
     keys = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    some = docs.join(base.bounded(keys, 64), F.col(key) == F.col("k"), "left_semi")
+    some = docs.join(base.bounded(keys), F.col(key) == F.col("k"), "left_semi")
     sets = base.materialise(some.select(F.col(key).alias("k"), _sets(F.col(text).cast("binary")).alias("own")))
     left, right = sets.select(F.col("k").alias("a"), F.col("own").alias("x")), sets.select(F.col("k").alias("b"), F.col("own").alias("y"))
     size = F.least(F.octet_length("x"), F.octet_length("y")) >= MIN_SIMILARITY * F.greatest(F.octet_length("x"), F.octet_length("y")) - 1e-6
@@ -82,7 +85,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
 def links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (a, b), a > b, that connect all near copies. Keys must not repeat."""
     base.ready(docs.sparkSession)
-    docs = docs.filter(F.col(key).isNotNull())
+    docs = docs.filter(F.col(key).isNotNull()).select(key, text)
     members = base.materialise(docs.select(F.col(key).alias("a"), F.explode(_bands(F.col(text).cast("binary"))).alias("bucket")))
     shared = members.groupBy("bucket").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "b")
     members = base.materialise(members.join(shared, "bucket"))
@@ -101,5 +104,6 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that are connected to one with a smaller key. Keys must not repeat."""
-    gone = graph.components(base.materialise(links(docs, text, key))).filter("node != root").select(F.col("node").alias("_j_key"))
-    return docs.join(base.bounded(base.materialise(gone), 64), F.col(key) == F.col("_j_key"), "left_anti")
+    p = base.prefix(docs, "_j_")
+    gone = graph.components(base.materialise(links(docs, text, key))).filter("node != root").select(F.col("node").alias(p + "key"))
+    return docs.join(base.bounded(base.materialise(gone)), F.col(key) == F.col(p + "key"), "left_anti")

@@ -1,10 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. Every word is read by small transducers that write symbols: insult, threat, target
-(whom it is aimed at), negation, reported speech. Their composition is one automaton over those symbols, whose
-states hold what the clause has shown so far and whose arcs carry weights: an insult or threat opens a match, a target
-near it strengthens the match, a negation before it or a verb of saying before it weakens it. A document's evidence
-is what its matched clauses weigh, never a count of isolated words; logistic regression turns it into a score.
+A text is read as clauses of words, and every word as a symbol: which of insult, threat, target (whom or what it points at),
+negation and reported speech it is. Five transducers, each a table of states and symbols, read these symbols in a row, and each writes what
+the next one reads:
+
+    reported speech   marks what follows a verb of saying, to the end of the clause
+    negation          marks what stands within NEAR words after a negation
+    target            marks what stands within NEAR words after a target
+    threat            a verb of threat, then a target within NEAR words, is a complete pattern
+    insult            an insult near a target, before or behind it, near an insult before it, or as the last word of a clause, is a
+                      complete pattern
+
+compose() makes one automaton of the five, of the states that can be reached. An insult or a threat opens a path, which counts only if its
+pattern is completed; the path's weight is the word's, times the weights of the negation and reported-speech arcs that it took. A word
+that no pattern completes counts nothing. A document's evidence is what its clauses' paths weigh and how many there are; logistic
+regression turns it into a score.
 
 What is learned, from labelled rows outside the held-out fold only: the insult lexicon (words and word beginnings by
 smoothed log odds over labelled texts, near copies counted once) and the weights of the score. Both are fitted to a
@@ -12,18 +22,19 @@ bounded sample, FIT_ROWS labelled rows, those whose ids have the least hashes. T
 
 Defined cases: a null or empty text has the score of a text without matches; without labels of both kinds the fixed
 words and weights hold; repeated rows are scored alike; a null id is not held out; an empty table gives an
-empty result; other columns are never read.
+empty result; an input column that is called `_t_score` is replaced, no other column is read or changed.
 """
 
 from __future__ import annotations
 
 import re
-from typing import Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,100 +43,245 @@ from quarry.llm import base
 
 FIT_ROWS = 8000
 #: Lexicon entries: at least so many toxic texts and this share of them, at least this log odds, a chance of at most
-#: CHANCE that random labels would put as many of an entry's texts on the toxic side, at most so many entries.
-MIN_TEXTS, MIN_SHARE, MIN_ODDS, CHANCE, MAX_ENTRIES = 3, 0.01, 2.5, 1e-4, 20_000
+#: CHANCE that random labels would put as many of an entry's texts on the toxic side.
+MIN_TEXTS, MIN_SHARE, MIN_ODDS, CHANCE = 3, 0.01, 2.5, 1e-4
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
-MEMO = 1 << 18
 
 # Words by role in English, German, French and Spanish.
 INSULT_SEEDS = frozenset("idiot moron scum dumbass bastard dummkopf arschloch connard salaud imbécile gilipollas cabrón".split())
 THREAT = frozenset("kill murder shoot stab strangle töten umbringen erschießen tuer égorger matar asesinar".split())
-TARGET = frozenset("you your you're he she they them this that these those du dich ihr euch dein der die das tu toi te vous ton ce cette ces tú usted ustedes ese esa este esta".split())
+PRONOUNS = frozenset("you your you're i me my we us our it its he him his she her they them their who this that these those ich du er sie es wir man dich ihr euch dein euer dieser diese dieses je tu il elle on nous ils elles toi te vous ton son ses ce cet cette ces yo tú él ella nosotros ellos tu su usted ustedes ese esa este esta".split())
+ARTICLES = frozenset("the a an der die das den dem des ein eine le la les un une el los las una de du".split())
+GENITIVES = frozenset("of von vom des du del al au aux with mit avec con as als comme como".split())
+COPULAS = frozenset("is are was were be been am ist sind war bist seid est sont était êtes es son eres fue".split())
+TARGET = PRONOUNS | ARTICLES | GENITIVES | COPULAS
 NEGATION = frozenset("not never no isn't aren't don't nobody nicht kein keine nie niemand pas jamais aucun aucune nunca jamás ningún ninguna".split())
 REPORTED = frozenset("said says say called calls claimed claims quoted quote wrote reported sagte sagt nannte dit disait appelé écrit dijo dice llamó escribió".split())
 
-#: Symbols and the automaton's arc weights: see clause(). Fixed values.
-NOTHING, INSULT, MENACE, TO, NOT, SAID = range(6)
-NEAR, TARGET_GAIN, NEGATION_LOSS, REPORTED_LOSS, THREAT_WEIGHT = 6, 1.25, 0.5, 0.5, 3.0
+#: Weights of arcs, and how many words apart the parts of a pattern may be. Fixed values.
+NEAR, NEGATION_LOSS, REPORTED_LOSS, THREAT_WEIGHT = 6, 0.5, 0.5, 3.0
 
+#: What a symbol says of a word, one bit each, and the end of a clause. Fixed values.
+INSULT, MENACE, TO, NOT, SAID, END = 1, 2, 4, 8, 16, 32
+#: What the transducers add to a symbol: marks, and what a pattern does, as a kind and the marks that its opening word had.
+IS_REPORTED, IS_NEGATED, IS_AIMED = 64, 128, 256
+THREAT_AT, INSULT_AT = 9, 13
+AT_ONCE, OPENED, COMPLETED = 1, 2, 3
+
+#: Texts are read in slices of about so many bytes, and so many cells of clauses run at a time.
+SLICE, CELLS = 4 << 20, 1 << 20
 _EDGE = re.compile(r"^\W+|\W+$")
-_STOP = re.compile(r"[.!?;:]+[\W]*$")
-_LINE = re.compile(r"\n+")
+_EDGES = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
+_STOP = r"[.!?;:]+[^\p{L}\p{N}_]*$"
+_LINE = "\ue000"  # stands for the end of a line
+
+
+# ---- transducers --------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """step[state, symbol] is the next state and out[state, symbol] what is written. State 0 is the first."""
+
+    step: np.ndarray
+    out: np.ndarray
+
+
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """The transducer that writes what `then` writes when it reads what `first` writes."""
+    known, states, frontier = {(0, 0): 0}, [(0, 0)], [(0, 0)]
+    step, out = [], []
+    while frontier:
+        a, b = (np.array(x) for x in zip(*frontier, strict=True))
+        said = first.out[a]
+        nexts = np.stack([first.step[a], then.step[b[:, None], said]], axis=-1)
+        out.append(then.out[b[:, None], said])
+        new = []
+        for pair in map(tuple, np.unique(nexts.reshape(-1, 2), axis=0).tolist()):
+            if pair not in known:
+                known[pair] = len(states)
+                states.append(pair)
+                new.append(pair)
+        step.append(nexts)
+        frontier = new
+    nexts = np.concatenate(step)
+    at = np.full((int(nexts[..., 0].max()) + 1, int(nexts[..., 1].max()) + 1), -1, dtype="int32")
+    for (a, b), k in known.items():
+        if a < at.shape[0] and b < at.shape[1]:
+            at[a, b] = k
+    return Transducer(at[nexts[..., 0], nexts[..., 1]], np.concatenate(out))
+
+
+def _table(states: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(every symbol of so many bits, no next state yet, the symbols as they come)."""
+    symbols = np.arange(1 << bits)
+    return symbols, np.zeros((states, len(symbols)), dtype="int32"), np.tile(symbols, (states, 1)).astype("int32")
+
+
+def reported() -> Transducer:
+    s, step, out = _table(2, 6)
+    for q in (0, 1):
+        step[q] = np.where(s & END, 0, np.where(s & SAID, 1, q))
+    out[1] |= IS_REPORTED
+    return Transducer(step, out)
+
+
+def behind(trigger: int, mark: int, bits: int) -> Transducer:
+    """Marks what stands within NEAR words behind a trigger. State: how many words ago it was, 0: too many."""
+    s, step, out = _table(NEAR + 1, bits)
+    for q in range(NEAR + 1):
+        step[q] = np.where(s & END, 0, np.where(s & trigger, 1, q + 1 if 0 < q < NEAR else 0))
+        if q:
+            out[q] |= mark
+    return Transducer(step, out)
+
+
+def pattern(opener: int, place: int, before: bool, last: bool, bits: int) -> Transducer:
+    """Completes an opener by a target within NEAR words behind it; before: a target or an open opener before it does as well; last: so does
+    the end of the clause, right behind it. State: the marks that the open one had, and how many words ago it was."""
+    s, step, out = _table(1 + 4 * NEAR, bits)
+    marks = (s >> 6) & 3
+    for q in range(1 + 4 * NEAR):
+        ago, own = ((q - 1) % NEAR + 1, (q - 1) // NEAR) if q else (0, 0)
+        older = q + 1 if 0 < ago < NEAR else 0
+        done = COMPLETED | own << 2
+        opens = (s & opener > 0) & (s & END == 0)
+        now = opens & ((s & IS_AIMED > 0) | (q > 0)) & before
+        step[q], write = older, np.zeros(len(s), dtype="int32")
+        if q:
+            closes = (s & TO > 0) & ~opens
+            step[q], write = np.where(closes, 0, step[q]), np.where(closes, done, write)
+        step[q] = np.where(opens & ~now, 1 + marks * NEAR, step[q])
+        write = np.where(opens, np.where(now, AT_ONCE, OPENED) | marks << 2, write)
+        step[q] = np.where(s & END, 0, step[q])
+        write = np.where(s & END, done if last and ago == 1 else 0, write)
+        out[q] |= (write << place).astype("int32")
+    return Transducer(step, out)
+
+
+def machines(targets: bool = True, negations: bool = True, reports: bool = True) -> list[Transducer]:
+    """The five, in the order in which they read. Those that are off mark nothing."""
+    return [
+        reported() if reports else Transducer(*_table(1, 6)[1:]),
+        behind(NOT if negations else 0, IS_NEGATED, 7),
+        behind(TO if targets else 0, IS_AIMED, 8),
+        pattern(MENACE, THREAT_AT, False, False, 9),
+        pattern(INSULT, INSULT_AT, True, True, 13),
+    ]
+
+
+@lru_cache(maxsize=4)
+def grammar_of(targets: bool = True, negations: bool = True, reports: bool = True) -> Transducer:
+    return reduce(compose, machines(targets, negations, reports))
+
+
+def _arc(out: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """(what the pattern does, the weight of its marks) for what the automaton writes."""
+    said = out >> place & 15
+    return said & 3, np.where(said & 4, REPORTED_LOSS, 1.0) * np.where(said & 8, NEGATION_LOSS, 1.0)
+
+
+def paths(automaton: Transducer, symbols: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, number) of the complete paths of each clause, a row of symbols each; shorter rows are filled up with END."""
+    n = len(symbols)
+    state, held, total, count = np.zeros(n, dtype="int32"), np.zeros(n), np.zeros(n), np.zeros(n, dtype="int64")
+    for t in range(symbols.shape[1]):
+        out, state = automaton.out[state, symbols[:, t]], automaton.step[state, symbols[:, t]]
+        if not (out >> THREAT_AT).any():
+            continue
+        kind, factor = _arc(out, THREAT_AT)
+        done = kind == COMPLETED
+        total += np.where(done, THREAT_WEIGHT * factor, 0)
+        count += done
+        kind, factor = _arc(out, INSULT_AT)
+        now, done = kind == AT_ONCE, kind == COMPLETED
+        total += np.where(now, weights[:, t], np.where(done, held, 0)) * factor
+        count += now | done
+        held = np.where(kind == OPENED, weights[:, t], held)
+    return total, count
+
+
+# ---- texts --------------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Grammar:
-    """weights: insult words, and word beginnings as "beginning*", to their weight."""
+    """weights: insult words, and word beginnings as "beginning*", to their weight. arcs: which marks are made."""
 
     weights: dict[str, float]
-    bias: float = -4.0
+    bias: float = -2.5
     scale: tuple[float, float] = (1.0, 1.0)
-    memo: dict[str, tuple[int, float, bool]] = field(default_factory=dict)
-
-    def symbol(self, raw: str) -> tuple[int, float, bool]:
-        """(symbol, weight, ends a clause) that the lexical transducers write for a word as it stands."""
-        got = self.memo.get(raw)
-        if got is None:
-            word = _EDGE.sub("", raw).lower()
-            weight = max([self.weights.get(word, 0.0), *(self.weights.get(word[:n] + "*", 0.0) for n in STEMS if len(word) >= n)])
-            kind = INSULT if weight else MENACE if word in THREAT else NOT if word in NEGATION else SAID if word in REPORTED else TO if word in TARGET else NOTHING
-            got = kind, weight if kind == INSULT else THREAT_WEIGHT if kind == MENACE else 0.0, bool(_STOP.search(raw))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[raw] = got
-        return got
-
-    def clauses(self, text: str) -> list[float]:
-        """The weight of each clause that matches."""
-        out: list[float] = []
-        for line in _LINE.split(text):
-            words = line.split()
-            read = {w: self.symbol(w) for w in set(words)}
-            if not any(weight for _, weight, _ in read.values()):
-                continue  # no arc of the automaton leads to a match
-            clause: list[tuple[int, float]] = []
-            for w in words:
-                kind, weight, stop = read[w]
-                clause.append((kind, weight))
-                if stop:
-                    out += match(clause)
-                    clause = []
-            out += match(clause)
-        return out
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        found = self.clauses(text) if text else []
-        return float(np.log1p(sum(found))), float(np.log1p(len(found)))
-
-    def score(self, text: str | None) -> float:
-        x, y = self.features(text)
-        return float(1 / (1 + np.exp(-(self.bias + self.scale[0] * x + self.scale[1] * y))))
-
-
-def match(clause: list[tuple[int, float]]) -> list[float]:
-    """One pass of the composed automaton. State: distance since the last target, negation and saying; open match."""
-    since_to = since_not = NEAR + 1
-    reported, out = False, []
-    for kind, weight in clause:
-        since_to, since_not = since_to + 1, since_not + 1
-        if kind == TO:
-            since_to = 0
-            if out and out[-1][1] < NEAR and not out[-1][2]:  # a target soon after
-                out[-1][0] *= TARGET_GAIN
-                out[-1][2] = True
-        elif kind == NOT:
-            since_not = 0
-        elif kind == SAID:
-            reported = True
-        elif weight:
-            aimed = since_to <= NEAR
-            w = weight * (TARGET_GAIN if aimed else 1) * (NEGATION_LOSS if since_not <= NEAR else 1) * (REPORTED_LOSS if reported else 1)
-            out.append([w, 0, aimed])
-            continue
-        if out:
-            out[-1][1] += 1
-    return [w for w, _, _ in out]
+    arcs: tuple[bool, bool, bool] = (True, True, True)
+    lists: list[tuple[pa.Array, np.ndarray, int]] = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        whole = {w: x for w, x in self.weights.items() if not w.endswith("*")}
+        self.lists = [(pa.array(list(whole), pa.string()), np.array([*whole.values(), 0.0]), 0)]
+        for n in STEMS:
+            own = {w[:-1]: x for w, x in self.weights.items() if w.endswith("*") and len(w) == n + 1}
+            self.lists.append((pa.array(list(own), pa.string()), np.array([*own.values(), 0.0]), n))
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol, weight, whether it ends a clause) of each word as it stands."""
+        core = pc.replace_substring_regex(pc.utf8_lower(words), _EDGES, "")
+        size = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+        weight = np.zeros(len(words))
+        for known, values, n in self.lists:
+            at = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(core, 0, n) if n else core, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            weight = np.maximum(weight, np.where(size >= n, values[at], 0))
+        symbol = np.where(weight > 0, INSULT, 0).astype("uint8")
+        for bit, own in ((MENACE, THREAT), (TO, TARGET), (NOT, NEGATION), (SAID, REPORTED)):
+            symbol |= np.where(pc.is_in(core, value_set=pa.array(sorted(own))).to_numpy(zero_copy_only=False), bit, 0).astype("uint8")
+        symbol[symbol & INSULT > 0] &= ~np.uint8(TO)
+        line = pc.equal(words, _LINE).to_numpy(zero_copy_only=False)
+        return np.where(line, END, symbol), weight, pc.match_substring_regex(words, _STOP).to_numpy(zero_copy_only=False)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, weights, where each text ends): all clauses of all texts in a row, each with END behind it."""
+        split = pc.utf8_split_whitespace(pc.replace_substring(pc.fill_null(texts, ""), "\n", f" {_LINE} "))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        symbol, weight, stop = self.words(coded.dictionary)
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        behind = stop[at].astype("int64")  # an END is put in behind these, and behind the last word of a text
+        np.add.at(behind, ends[ends > 0] - 1, 1)
+        place = np.arange(len(at)) + np.cumsum(behind) - behind
+        symbols, weights = np.full(len(at) + int(behind.sum()), END, dtype="uint8"), np.zeros(len(at) + int(behind.sum()))
+        symbols[place], weights[place] = symbol[at], weight[at]
+        total = np.concatenate([[0], np.cumsum(1 + behind)])
+        return symbols, weights, total[ends]
+
+    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, number) of the complete paths of each text."""
+        symbols, weights, ends = self.read(texts)
+        total, count = np.zeros(len(ends)), np.zeros(len(ends), dtype="int64")
+        if not len(symbols):
+            return total, count
+        last = np.flatnonzero(symbols == END)  # of each clause
+        begins = np.concatenate([[0], last[:-1] + 1])
+        clause = np.unique(np.searchsorted(last, np.flatnonzero(symbols & (INSULT | MENACE))))  # no path opens in any other
+        clause = clause[np.argsort(last[clause] - begins[clause], kind="stable")]
+        automaton, k = grammar_of(*self.arcs), 0
+        while k < len(clause):
+            sizes = last[clause[k:]] - begins[clause[k:]] + 1
+            n = max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), CELLS)))
+            part, sizes = clause[k : k + n], sizes[:n]
+            cell = np.arange(int(sizes[-1]))
+            inside = cell < sizes[:, None]
+            at = np.where(inside, begins[part][:, None] + cell, 0)
+            x, y = paths(automaton, np.where(inside, symbols[at], END), np.where(inside, weights[at], 0))
+            text = np.searchsorted(ends, begins[part], side="right")
+            np.add.at(total, text, x)
+            np.add.at(count, text, y)
+            k += n
+        return total, count
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        return np.log1p(np.column_stack(self.evidence(texts)))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.bias + self.features(texts) @ np.array(self.scale))))
 
 
 # ---- learning -----------------------------------------------------------------------------------------------
@@ -174,7 +330,8 @@ def lexicon(sample: DataFrame) -> dict[str, float]:
 
     of = lambda y: F.count(F.when(F.col("toxic") == y, 1))
     marks = sample.mapInArrow(run, "entry string, mark long, toxic int").distinct()
-    # How many labelled texts there are of each kind, near copies once: at most FIT_ROWS, so one entry's counts are bounded.
+    # How many labelled texts there are of each kind, near copies once: at most FIT_ROWS, so one entry's counts are bounded, and so is the
+    # lexicon: its entries each stand in a hundredth of the sample's toxic texts.
     counts = marks.groupBy("entry").agg(of(1).alias("pos"), of(0).alias("neg"))
     n = sample.groupBy("toxic").count().collect()
     n = {r[0]: r[1] for r in n}
@@ -183,7 +340,7 @@ def lexicon(sample: DataFrame) -> dict[str, float]:
     odds = F.log(((F.col("pos") + 0.25) / (n[1] + 0.5)) / ((F.col("neg") + 0.25) / (n[0] + 0.5)))
     enough = max(MIN_TEXTS, MIN_SHARE * n[1], np.log(CHANCE) / np.log(n[1] / (n[0] + n[1])))
     best = counts.filter(F.col("pos") >= float(enough)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).filter(F.col("neg") <= 0.02 * F.col("pos"))
-    return {r[0]: float(r[1]) for r in best.orderBy(F.desc("odds"), "entry").limit(MAX_ENTRIES).select("entry", "odds").collect()}
+    return {r[0]: float(r[1]) for r in best.select("entry", "odds").collect()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
@@ -200,20 +357,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40)
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, arcs: tuple[bool, bool, bool] = (True, True, True)) -> Grammar:
     """Reads the labelled rows of the training folds only."""
     base.ready(docs.sparkSession)
     sample = base.materialise(labelled(docs, labels))
-    grammar = Grammar(dict.fromkeys(INSULT_SEEDS, 4.0) | lexicon(sample))
+    grammar = Grammar(dict.fromkeys(INSULT_SEEDS, 4.0) | lexicon(sample), arcs=arcs)
     weights = grammar.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Grammar(weights)
+        own = Grammar(weights, arcs=arcs)
         for batch in batches:
-            rows = [own.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(1)], names=["a", "b", "toxic"])
+            for part in base.slices(batch, 0, SLICE):
+                got = own.features(part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), part.column(1)], names=["a", "b", "toxic"])
 
-    got = np.array([tuple(r) for r in sample.mapInArrow(run, "a double, b double, toxic int").orderBy("toxic", "a", "b").collect()], dtype=float).reshape(-1, 3)
+    got = np.array(sorted(tuple(r) for r in sample.mapInArrow(run, "a double, b double, toxic int").collect()), dtype=float).reshape(-1, 3)
     if len(got) and 0 < got[:, 2].sum() < len(got):
         w = logistic(got[:, :2], got[:, 2])
         if w[1] + w[2] > 0:
@@ -225,13 +383,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
 def scored(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
     """docs with _t_score."""
     base.ready(docs.sparkSession)
-    weights, bias, scale = grammar.weights, grammar.bias, grammar.scale
+    weights, bias, scale, arcs = grammar.weights, grammar.bias, grammar.scale, grammar.arcs
 
-    @F.pandas_udf("double")
-    def udf(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Grammar(weights, bias, scale)
+    @F.arrow_udf("double")
+    def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Grammar(weights, bias, scale, arcs)
         for texts in it:
-            yield pd.Series([own.score(x) for x in texts], dtype="float64")
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            yield pa.array(np.concatenate([np.zeros(0), *[own.scores(part.column(0)) for part in base.slices(batch, 0, SLICE)]]))
 
     return docs.withColumn("_t_score", udf(F.col(text)))
 

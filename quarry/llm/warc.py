@@ -1,31 +1,39 @@
 """WARC records in ZIP packages: a writer, and a reader that works by ranges.
 
-An archive is a ZIP whose members are stored, not deflated: `archive/data.warc` and `indexes/index.cdxj`, a line for
+An archive is a ZIP file whose members are stored, not deflated: `archive/data.warc` and `indexes/index.cdxj`, a line for
 each record with its offset and length. The reader finds the end record (and the ZIP64 records where they
-are), parses the central directory, locates the data of a member behind its local header, reads the index, and then
-reads each record by its range; nothing is extracted. Every access goes through `read(offset, length)`, so a file,
-an object store's range request or bytes in memory serve alike.
+are), parses the central directory, locates the data of a member behind its local header, and reads the index: a row for each
+record, its archive, offset and length. These rows are dealt to tasks by archive and SPAN, so that a large archive is read by many, and each
+record is then read from its file by its range; nothing is extracted, and no archive is held whole. Every access
+goes through `read(offset, length)`, of a file in any store that Arrow's file systems know, or of bytes in memory.
+
+Archives are written to a folder that all machines share. A task that is run again writes files of other names, and only those of
+the run that counts are in the result.
 
 Of records with equal payloads of MIN_REVISIT bytes or more, the one with the smallest page id is the response and
 the others are revisits, which keep the payload's digest and length in their headers.
 
 Defined cases: a null html is an empty payload; a null url is empty; rows that repeat the smallest page id of their
 payload are responses, each; a page without an id is a revisit if a page with an id has its payload, else a
-response; an empty table makes no archive.
+response; an empty table makes no archive; columns other than the three named are ignored; a package with records but without an
+index that can be read is an error.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +41,10 @@ from pyspark.sql import functions as F
 from quarry.llm import base
 
 MIN_REVISIT = 100
-#: An archive is closed when its records reach so many bytes.
-ARCHIVE_BYTES = 8 << 20
+#: An archive is closed when its records reach so many bytes; records of so many bytes of an archive are read by one task.
+ARCHIVE_BYTES, SPAN = 8 << 20, 64 << 20
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+PLACE = "archive string, offset long, length long"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 Reader = Callable[[int, int], bytes]
 
@@ -94,16 +103,18 @@ def package(records: list[tuple[bytes, dict]]) -> bytes:
     return out.getvalue()
 
 
-def ranges(source: bytes | io.BufferedIOBase) -> tuple[Reader, int]:
-    """(read, size) over bytes or a seekable file."""
-    if isinstance(source, (bytes, memoryview)):
-        return lambda at, n: bytes(source[at : at + n]), len(source)
+def ranges(source: bytes | pa.NativeFile) -> tuple[Reader, int]:
+    """(read, size) over bytes or a file of Arrow's."""
+    if isinstance(source, pa.NativeFile):
+        return lambda at, n: source.read_at(n, at), source.size()
+    return lambda at, n: bytes(source[at : at + n]), len(source)
 
-    def read(at: int, n: int) -> bytes:
-        source.seek(at)
-        return source.read(n)
 
-    return read, source.seek(0, 2)
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path within it."""
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
 
 
 class Package:
@@ -167,37 +178,59 @@ class Package:
         n_name, n_extra = struct.unpack_from("<HH", local, 26)
         return at + 30 + n_name + n_extra, size
 
-    def records(self) -> Iterator[bytes]:
-        """Every record that an index names, read by its range."""
-        for index in sorted(x for x in self.members if x.startswith("indexes/") and x.endswith((".cdxj", ".cdx"))):
-            for line in self.read(*self.place(index)).splitlines():
+    def places(self) -> Iterator[tuple[int, int]]:
+        """(offset in the archive, length) of every record that an index names."""
+        found = False
+        for index in sorted(x for x in self.members if x.startswith("indexes/") and x.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))):
+            found, lines = True, self.read(*self.place(index))
+            for line in (gzip.decompress(lines) if lines[:2] == b"\x1f\x8b" else lines).splitlines():
+                if b"{" not in line:  # a header
+                    continue
                 entry = json.loads(line[line.index(b"{") :])
                 at, size = self.place("archive/" + entry["filename"])
-                if not 0 <= entry["offset"] <= entry["offset"] + entry["length"] <= size:
+                offset, length = int(entry["offset"]), int(entry["length"])
+                if not 0 <= offset <= offset + length <= size:
                     raise ValueError("a range beyond its member")
-                yield self.read(at + entry["offset"], entry["length"])
+                yield at + offset, length
+        if not found and any(x.startswith("archive/") for x in self.members):
+            raise ValueError("records without an index")
+
+    def records(self) -> Iterator[bytes]:
+        """Every record that an index names, read by its range."""
+        for at, length in self.places():
+            yield self.read(at, length)
 
 
 # ---- DataFrames ---------------------------------------------------------------------------------------------
 
 
 def write(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """(archive, content) from pages (page_id, url, html): a ZIP package for about every ARCHIVE_BYTES of a task's rows."""
-    base.ready(pages.sparkSession)
+    """(archive, n_records): the files written from pages (page_id, url, html), a ZIP package for about every ARCHIVE_BYTES of a task's rows."""
+    spark = base.ready(pages.sparkSession)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    # Only digests that several records have go into the join; payloads are joined where they are as long as
-    # that table is small, and else shuffled once.
-    twice = rows.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    twice = base.materialise(twice.select(F.col("digest").alias("twin"), "first"))
-    rows = rows.join(base.bounded(twice, 96), (F.col("digest") == F.col("twin")) & (F.octet_length("payload") >= MIN_REVISIT), "left")
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first"))
+    # Only digests that several records have are looked up; where these take few bytes, payloads stay where they are, else they
+    # move by digest, but for the digests that many records have.
+    many = rows.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    many = base.materialise(many.filter("n > 1 and first is not null").select(F.col("digest").alias("twin"), "first", "n"))
+    if base.size_of(many) <= base.BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(many.drop("n")), F.col("digest") == F.col("twin"), "left")
+    else:
+        rows = base.looked_up(rows, "digest", many, "twin", "n")
+    rows = rows.select("page_id", "url", "payload", "digest", F.when((F.octet_length("payload") >= MIN_REVISIT) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first"))
+    folder = f"{base.scratch(spark)}/quarry-warc-{uuid.uuid4().hex}"
+    base.made("folder", folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, held, size = TaskContext.get().partitionId(), [], 0
+        where, path = store(folder)
+        where.create_dir(path)
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{made:06d}.zip"]), pa.array([package(held)], type=pa.binary())], names=["archive", "content"])
+            name = f"part-{task:06d}-{uuid.uuid4().hex}.zip"
+            with where.open_output_stream(f"{path}/{name}") as f:
+                f.write(package(held))
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64())], names=["archive", "n_records"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -207,34 +240,58 @@ def write(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
                 size += len(raw)
                 if size >= ARCHIVE_BYTES:
                     yield close()
-                    made, held, size = made + 1, [], 0
+                    held, size = [], 0
         if held:
             yield close()
 
-    return rows.mapInArrow(run, "archive string, content binary")
+    return base.materialise(rows.mapInArrow(run, "archive string, n_records long"))
 
 
-def read(archives: DataFrame, payloads: bool = True, content: str = "content") -> DataFrame:
-    """Rows of RECORD from archives with a binary column, as write() or Spark's binaryFile source gives them."""
+def indexed(archives: DataFrame) -> DataFrame:
+    """Rows of PLACE, one for each record, from the indexes of archives (archive: a path or URI)."""
     base.ready(archives.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                where, path = store(name)
+                with where.open_input_file(path) as f:
+                    places = list(Package(*ranges(f)).places())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), *[pa.array([x[i] for x in places], pa.int64()) for i in (0, 1)]], names=["archive", "offset", "length"])
+
+    return archives.filter("archive is not null").select("archive").mapInArrow(run, PLACE)
+
+
+def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """Rows of RECORD from archives (archive: a path or URI)."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive in batch.column(0):
-                rows = []
-                for raw in Package(*ranges(memoryview(archive.as_buffer()))).records():
-                    row = parse(raw)
-                    rows.append(row if payloads else (*row[:2], None, *row[3:]))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
-                        rows = []
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+        opened, at, rows = None, "", []
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
 
-    return archives.filter(F.col(content).isNotNull()).select(F.col(content)).mapInArrow(run, RECORD)
+        for batch in batches:
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != at:
+                    if opened:
+                        opened.close()
+                    where, path = store(name)
+                    opened, at = where.open_input_file(path), name
+                row = parse(ranges(opened)[0](offset, length))
+                rows.append(row if payloads else (*row[:2], None, *row[3:]))
+                if len(rows) == 256:
+                    yield table()
+                    rows = []
+        if opened:
+            opened.close()
+        yield table()
+
+    places = indexed(archives).repartition("archive", (F.col("offset") / SPAN).cast("long")).sortWithinPartitions("archive", "offset")
+    return places.mapInArrow(run, RECORD)
 
 
 def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = base.materialise(write(base.read(spark, sf_dir, "pages")))
-    return read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(write(base.read(spark, sf_dir, "pages")), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
