@@ -62,7 +62,7 @@ def conflict_index(plan: DataFrame) -> DataFrame:
     return rows.select(text.tsv_cell(text.file_name(F.col("root"))).alias("library_root"), text.tsv_cell(F.col("rel")).alias("class_path"), text.tsv_cell(F.col("src")).alias("source_file"))
 
 
-def root_list(plan: DataFrame, existing_main: bool = False) -> DataFrame:
+def root_list(plan: DataFrame) -> DataFrame:
     """(root, ordinal): the main root first, if anything is in it, then conflict roots as they were made."""
     got = plan.groupBy("root").agg(F.min("src").alias("first")).withColumn("other", F.col("root") != MAIN)
-    return got.withColumn("ordinal", F.row_number().over(Window.orderBy("other", "first")).cast("long") - 1).select("root", "ordinal")  # a row per folder
+    return dedup.positions(got, ["other", "first", "root"]).select("root", F.col("position").alias("ordinal"))

@@ -1,6 +1,7 @@
 """Versions, copies, collisions and counters of class items.
 
-Items are rows (name, origin, grp, digest, ...). Content equality is equality of the SHA-256 digest, so contents are not shuffled.
+Items are rows (name, origin, grp, digest, ...). Content equality is equality of the SHA-256 digest: plans are made of items without
+their contents, which are read again where they are written.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.session import bounded, materialise
 
 
 def rank_versions(items: DataFrame, name: str = "name", digest: str = "digest", order: str = "origin") -> DataFrame:
@@ -24,9 +26,17 @@ def distinct_versions(items: DataFrame, name: str = "name", digest: str = "diges
     return items.groupBy(name, digest).agg(first).select(name, digest, *[F.col("_first")[c].alias(c) for c in (order, *rest)]).select(*items.columns)
 
 
+def nth_seen(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """rows with nth: 1 for the first of each key, in order, and so on. What a walk that remembers keys keeps are those with 1."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+
+
 def collisions(units: DataFrame, name: str = "name") -> DataFrame:
-    """units with n_same: how many units share the name without regard to case (paths must differ on any file system)."""
-    return units.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy(F.lower(name))))
+    """units with n_same: how many units share the name without regard to case (paths must differ on any file system). Names are
+    counted by an aggregate, and only those that several units have are joined back: units of a common name stay where they are."""
+    shared = units.groupBy(F.lower(name).alias("_low")).agg(F.count(F.lit(1)).alias("n_same")).filter("n_same > 1")
+    out = units.join(bounded(shared), F.lower(name) == F.col("_low"), "left")
+    return out.withColumn("n_same", F.coalesce("n_same", F.lit(1))).drop("_low")
 
 
 def entry_path(name: Column, grp: Column, digest: Column, n_same: Column, extension: str = "class") -> Column:
@@ -46,13 +56,10 @@ def repeated_entries(planned: DataFrame, entry: str = "file_entry") -> DataFrame
     return planned.groupBy(entry).count().filter("count > 1")
 
 
-def counters(items: DataFrame) -> DataFrame:
-    """One row (discovered, filtered, broken, duplicates, kept) from scan rows with status, name and digest."""
-    ok = items.filter("status = 'ok'").groupBy("name", "digest").agg(F.count(F.lit(1)).alias("n"))
-    dup = ok.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count(F.lit(1)).alias("kept"))
-    of = lambda s: F.count(F.when(F.col("status") == s, 1))
-    seen = items.agg(F.count(F.when(F.col("status") != "warning", 1)).alias("discovered"), of("filtered").alias("filtered"), of("error").alias("broken"))
-    return seen.join(F.broadcast(dup))  # one row each, by construction
+def conflicts(units: DataFrame, name: str = "name") -> DataFrame:
+    """One row (in_conflict, conflict_groups): units that share their name with others, and how many such names there are."""
+    groups = units.groupBy(F.lower(name).alias("low")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_conflict"), F.count(F.lit(1)).alias("conflict_groups"))
 
 
 def representatives(files: DataFrame, path: str = "path", relative: str = "relative", digest: str = "digest") -> DataFrame:
@@ -76,13 +83,18 @@ def suffixed(files: DataFrame, file_name: str, order: str) -> DataFrame:
 def batches(units: DataFrame, order: list[str], size: int = 40) -> DataFrame:
     """(batch, n): batch numbers over a total order, from range-partitioned positions: each partition counts its own rows and
     adds what stands before it, so no single task sees all rows."""
-    return positions(units, order).groupBy((F.col("position") / size).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    placed = positions(units.select(*order), order)
+    return placed.groupBy((F.col("position") / size).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def positions(units: DataFrame, order: list[str]) -> DataFrame:
-    """units with position, from 0, in a total order."""
+    """units with position, from 0, in a total order. Which partition a row is in holds for one evaluation only, so the ordered rows are
+    written once, with their partition and their number in it, and both the counts and the result read them from there."""
     spread = units.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     spread = spread.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    spread = materialise(spread)
     sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    return spread.join(F.broadcast(before.select(F.col("_p").alias("_q"), "_before")), F.col("_p") == F.col("_q")).withColumn("position", F.col("_i") + F.col("_before")).drop("_p", "_q", "_i", "_before")
+    out = spread.join(F.broadcast(before.select(F.col("_p").alias("_q"), "_before")), F.col("_p") == F.col("_q"), "left")
+    known = F.when(F.col("_before").isNull(), F.raise_error(F.lit("a partition was not counted"))).otherwise(F.col("_before"))
+    return out.withColumn("position", F.col("_i") + known).drop("_p", "_q", "_i", "_before")

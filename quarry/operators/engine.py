@@ -8,6 +8,7 @@ every path: one output per family, warnings, partial sources, failures.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import CancelledError
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -63,6 +64,16 @@ def describe(error: BaseException, separator: str = "\ncaused by: ") -> str:
     return separator.join(out)
 
 
+def stopped(error: BaseException) -> None:
+    """Raise what says that the work was interrupted, also where it is the cause of something else: it is no failure of an item."""
+    seen = set()
+    while error is not None and id(error) not in seen:
+        if isinstance(error, (InterruptedError, KeyboardInterrupt, CancelledError)):
+            raise error
+        seen.add(id(error))
+        error = error.__cause__ or error.__context__
+
+
 def comments(source: str) -> Iterator[tuple[int, str]]:
     """(line, text) of each end-of-line comment of a Java source: not those within strings, characters, text blocks, block comments."""
     i, line, n = 0, 1, len(source)
@@ -128,6 +139,7 @@ def run_unit(engine: Engine, members: list[Member]) -> tuple:
         issues = [*out.issues, *partial_issues(out.source, members[0].name)]
         return out.source, out.warnings, [{"internal_name": a, "error_type": b, "reason": c} for a, b, c in issues], None, None
     except Exception as e:
+        stopped(e)
         return None, [], [], type(e).__name__, describe(e)
 
 

@@ -17,27 +17,43 @@ def roots(items: DataFrame, scope: str = "scope", name: str = "name", parent: st
     """(scope, name, root, depth) for every distinct name: parents are followed while exactly one item of that name is in the
     scope; a name that is missing, held twice, or already on the way ends the walk, and the last one reached is the root.
 
-    Pointer doubling: after k rounds a name has looked 2^k parents ahead, so the rounds are the logarithm of the depth. Each
-    round is written to the shared folder, which cuts the lineage (it would double with every round) and survives lost executors."""
+    Pointer doubling: after k rounds a name knows the ancestor 2^k parents ahead, so the rounds are the logarithm of the depth, without
+    a limit, and a row holds one ancestor whatever the depth. Names that then still have not come to an end lead into a ring; only for these the
+    whole way is kept, as it says where they must stop. Each round is written to the shared folder, which cuts the lineage (it would
+    double with every round) and survives lost executors."""
     names = items.groupBy(scope, name).agg(F.count(F.lit(1)).alias("n"), F.min(parent).alias("parent"))
     single = names.filter("n = 1").select(F.col(scope).alias("s"), F.col(name).alias("unique_name"))
     step = names.join(single, (F.col(scope) == F.col("s")) & (F.col("parent") == F.col("unique_name")), "left")
-    step = materialise(step.select(scope, name, F.col("unique_name").alias("up")))
+    step = materialise(step.select(scope, name, F.when(F.col("unique_name") != F.col(name), F.col("unique_name")).alias("up")))
+    largest = step.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    now = step.select(scope, name, F.coalesce("up", name).alias("root"), F.col("up").isNotNull().cast("int").alias("depth"), F.col("up").isNotNull().alias("open"))
+    reach = 1
+    while reach < 2 * largest and (reach == 1 or not now.filter("open").isEmpty()):
+        ahead = now.select(F.col(scope).alias("s"), F.col(name).alias("at"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("open").alias("on"))
+        grown = now.filter("open").join(ahead, (F.col(scope) == F.col("s")) & (F.col("root") == F.col("at")))
+        grown = grown.select(scope, name, F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("on").alias("open"))
+        now, reach = materialise(now.filter("not open").unionByName(grown)), 2 * reach
+    done, rest = now.filter("not open").drop("open"), now.filter("open")
+    if rest.isEmpty():
+        return done
+    return done.unionByName(_rings(step.join(rest.select(scope, name), [scope, name], "left_semi"), scope, name))
+
+
+def _rings(step: DataFrame, scope: str, name: str) -> DataFrame:
+    """(scope, name, root, depth) for names (with `up`) that lead into a ring: the walk ends before it would come to a name again."""
     # path: the ancestors in order, nearest first; it stops before what would repeat.
-    now = step.select(scope, name, F.when(F.col("up").isNull() | (F.col("up") == F.col(name)), F.array().cast("array<string>")).otherwise(F.array("up")).alias("path"))
+    now = step.select(scope, name, F.array("up").alias("path"))
     while True:
         ahead = now.select(F.col(scope).alias("s"), F.col(name).alias("at"), F.col("path").alias("more"))
         tip = F.get("path", F.size("path") - 1)
-        grown = now.join(ahead, (F.col(scope) == F.col("s")) & (tip == F.col("at")), "left").select(scope, name, "path", F.coalesce("more", F.array().cast("array<string>")).alias("more"))
+        grown = now.join(ahead, (F.col(scope) == F.col("s")) & (tip == F.col("at")))
         seen = F.concat(F.array(name), F.col("path"))
         stop = F.array_min(F.filter(F.transform(F.col("more"), lambda x, i: F.when(F.array_contains(seen, x), i)), lambda i: i.isNotNull()))
         fresh = F.when(stop.isNull(), F.col("more")).otherwise(F.slice("more", 1, stop))
-        nxt = grown.withColumn("fresh", fresh).select(scope, name, F.concat("path", "fresh").alias("path"), F.size("fresh").alias("moved"))
-        nxt = materialise(nxt)
-        if not nxt.filter("moved > 0").limit(1).count():
-            break
+        nxt = materialise(grown.withColumn("fresh", fresh).select(scope, name, F.concat("path", "fresh").alias("path"), F.size("fresh").alias("moved")))
+        if nxt.filter("moved > 0").isEmpty():
+            return nxt.select(scope, name, F.get("path", F.size("path") - 1).alias("root"), F.size("path").alias("depth"))
         now = nxt.drop("moved")
-    return nxt.select(scope, name, F.coalesce(F.get("path", F.size("path") - 1), F.col(name)).alias("root"), F.size("path").alias("depth"))
 
 
 def assigned(items: DataFrame) -> DataFrame:

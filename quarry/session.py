@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch where the session has Spark's own default of 10,000: texts and contents are far larger than numbers.
 BATCH_ROWS = 2500
@@ -40,6 +40,23 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a side may be broadcast when their measured size is at most so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes that its rows take, measured: the lengths of texts, and 16 for each other value."""
+    texts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    one = sum(texts, F.lit(16 * len(df.columns))).cast("long")
+    return df.agg(F.coalesce(F.sum(one), F.lit(0))).first()[0]
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """small with a broadcast hint if its rows, measured, take BROADCAST_BYTES at most; else as it is,
+    so that the join shuffles (and AQE splits hot partitions)."""
+    return F.broadcast(small) if size_of(small) <= BROADCAST_BYTES else small
+
+
 #: What this process has made in the shared folder and not yet deleted: folders, and tables of the catalog, in order.
 _made: list[tuple[str, str]] = []
 

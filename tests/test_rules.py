@@ -16,7 +16,7 @@ CASES = [
     ("a.b", "", "a/b/C", True), ("a.b", "", "a/b/c/D", False), (".*", "", "Top", True),
     ("a?c", "", "abc/X", True), ("a?c", "", "abbc/X", False), ("a*c*e", "", "xabcde/X", False), ("a*c*e", "", "abcde/X", True),
     ("", "internal", "a/internal/X", False), ("*example", "internal", "org/example/internal/X", False), ("*example", "Secret", "org/example/SecretKey", False),
-    ("x, y，z\nw", "", "w/A", True), ("x, y，z\nw", "", "v/A", False), ("a[b]*", "", "a[b]c/X", True), ("a+b.*", "", "aab/X", False),
+    ("x, y，z\nw", "", "w/A", True), ("x, y，z\nw", "", "v/A", False), ("a[b]*", "", "xa[b]/X", True), ("a[b]*", "", "a[b]c/X", False), ("a+b.*", "", "aab/X", False),
 ]
 
 
