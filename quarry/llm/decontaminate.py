@@ -349,9 +349,11 @@ def search(texts: list[str | None], items: Items) -> list[tuple[int, int, int, f
                 while x < len(begins) and begins[x] <= b + len(pattern):
                     b, x = begins[x], x + 1
                 a = max(0, a - limit - NEXT)
-                distance, _ = edit_match(pattern, text[a : max(0, b + len(pattern) + limit + 2 * NEXT)])
-                if distance <= limit and ((doc, k) not in best or (distance, offset + a) < best[doc, k]):
-                    best[doc, k] = (distance, offset + a)
+                stretch = text[a : max(0, b + len(pattern) + limit + 2 * NEXT)]
+                distance, end = edit_match(pattern, stretch)
+                if distance <= limit:
+                    found = offset + a + end - edit_match(pattern[::-1], stretch[end - 1 :: -1])[1]  # where it begins
+                    best[doc, k] = min(best.get((doc, k), (distance, found)), (distance, found))
     return [(d, k, n, 1 - n / len(items.texts[k]), own[d].count(" ", 0, at)) for (d, k), (n, at) in sorted(best.items())]
 
 

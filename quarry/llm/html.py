@@ -6,7 +6,8 @@ each of its class and id words (`div.ad`); its weight is the greatest of these.
 
 The weights come from labelled pages, pages with one article element, which says of each of their tokens whether it is content. They start as
 log odds that a tag stands outside the article. Then, page by page, where the best region with the weights so far reaches beyond the
-article, the tags it passes there are made dearer, until they outweigh MARGIN times the words that they let in. A sample of FIT_PAGES
+article, the tags it passes there (but for those of elements that hold an article) are made dearer, until they outweigh MARGIN times the
+words that they let in. A sample of FIT_PAGES
 pages is fitted to, of FIT_BYTES each at most. An element with class or id words whose tags cost more than its words bring is dear: its words
 score negative too, and where it stands between words of the region they are left out.
 
@@ -26,7 +27,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,6 +44,7 @@ DROPPED = frozenset("nav footer aside form button select textarea script style n
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+WHOLE = frozenset("html body main article".split())
 IMPLIED_END = frozenset("p li dt dd".split())
 WORDS_FOR = frozenset("menu navigation navbar breadcrumb breadcrumbs sidebar masthead footer notice cookie-notice cookie-banner advert advertisement adverts sponsored comments comment comment-list newsletter".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -71,7 +72,7 @@ def _element(tag: str, attrs: str, inside: bool, weights: dict[str, float] | Non
     found = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
     words = [w.lower() for w in [*found.get("class", "").split(), found.get("id", "")] if w]
     keys = tuple(f"{tag}.{w}" for w in words) or (tag,)
-    if tag in ("html", "body", "main", "article"):
+    if tag in WHOLE:
         return keys, never
     never |= "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
     never |= found.get("role", "").lower() in _ROLE
@@ -139,29 +140,35 @@ def costs(parts: list[Token], weights: dict[str, float]) -> list[float]:
 
 
 def dear(parts: list[Token], scores: list[float]) -> list[tuple[int, int]]:
-    """[from, to) of the elements with class or id words whose tags cost more than their words bring."""
-    sums, opened, out = [0.0, *accumulate(scores)], [], []
-    for i, t in enumerate(parts):
-        if not t.tag or t.tag in VOID:
+    """[from, to) of the elements with class or id words whose tags cost more than their words bring. What a dear element within
+    costs is not held against the one around it."""
+    opened: list[tuple[int, Token, float]] = [(-1, Token(""), 0.0)]
+    out = []
+    for i, (t, x) in enumerate(zip(parts, scores, strict=True)):
+        at, top, total = opened.pop()
+        if t.tag and not t.closing and t.tag not in VOID:
+            opened += [(at, top, total), (i, t, x)]
             continue
-        if not t.closing:
-            opened.append((i, t))
-        elif any(o.tag == t.tag for _, o in opened):
-            while opened:
-                at, o = opened.pop()
-                if "." in o.keys[0] and sums[i + 1] < sums[at]:
+        opened.append((at, top, total + x))
+        if t.closing and any(o.tag == t.tag for _, o, _ in opened):
+            while True:
+                at, o, total = opened.pop()
+                if "." in o.keys[0] and o.tag not in WHOLE and total < 0:
                     out.append((at, i + 1))
+                    total = 0.0
+                before, around, rest = opened.pop()
+                opened.append((before, around, rest + total))
                 if o.tag == t.tag:
                     break
     return out
 
 
 def scored(parts: list[Token], weights: dict[str, float]) -> list[float]:
-    """Words of a dear element are no gain: they score as much below zero as others above."""
+    """Words of a dear element are no gain: they score as much below zero as others above. That is what it costs to pass it."""
     scores = costs(parts, weights)
     for a, b in dear(parts, scores):
         for i in range(a, b):
-            scores[i] = -abs(scores[i])
+            scores[i] = -LEAST_LOSS if parts[i].tag else -abs(scores[i])
     return scores
 
 
@@ -187,9 +194,22 @@ def left_out(parts: list[Token], weights: dict[str, float], a: int, b: int) -> s
     return out
 
 
+def _around(parts: list[Token], at: int) -> set[str]:
+    """The keys of the elements that are open at a token."""
+    opened: list[Token] = []
+    for t in parts[:at]:
+        if t.tag and t.tag not in VOID:
+            if not t.closing:
+                opened.append(t)
+            elif any(o.tag == t.tag for o in opened):
+                while opened.pop().tag != t.tag:
+                    pass
+    return {k for t in opened for k in t.keys}
+
+
 def fit(pages: list[str]) -> dict[str, float]:
     """Loss by tag, of labelled pages."""
-    inner, outer, known = Counter(), Counter(), []
+    inner, outer, around, known = Counter(), Counter(), set(), []
     for html in pages:
         parts = list(tokens(html, None))
         begins = [i for i, t in enumerate(parts) if t.tag == "article" and not t.closing]
@@ -197,6 +217,7 @@ def fit(pages: list[str]) -> dict[str, float]:
             continue
         a = begins[0]
         b = next((i + 1 for i, t in enumerate(parts) if i > a and t.tag == "article"), len(parts))
+        around.update(_around(parts, a))
         for i, t in enumerate(parts):
             if t.tag:
                 (inner if a <= i < b else outer).update(t.keys)
@@ -208,7 +229,7 @@ def fit(pages: list[str]) -> dict[str, float]:
             scores = [x if t.tag or a <= i < b else MARGIN * x for i, (t, x) in enumerate(zip(parts, costs(parts, weights), strict=True))]
             x, y = region(scores)
             for span in (range(x, min(a, y)), range(max(b, x), y)):  # what it lets in before the article, and behind
-                tags = [parts[i] for i in span if parts[i].tag]
+                tags = [parts[i] for i in span if parts[i].tag and not around.intersection(parts[i].keys)]
                 excess = sum(scores[i] for i in span)
                 if tags and excess > 0:
                     moved = True
