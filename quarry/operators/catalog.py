@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,23 @@ def attached(module_library: DataFrame, modules: DataFrame, library: str = COLLE
     has = module_library.filter(F.col("library") == library).select("module")
     new = modules.select("module").distinct().join(has, "module", "left_anti").withColumn("library", F.lit(library))
     return module_library.unionByName(new.select("module", "library"))
+
+
+def committed(table: DataFrame, path: str) -> DataFrame:
+    """table written to path in place of what is there: whole beside it first, then put in its place, so a reader never sees a part, and a
+    failure leaves the old table."""
+    spark = table.sparkSession
+    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    table.write.parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    replaces = store.exists(at(path))
+    if replaces and not store.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be replaced")
+    if not store.rename(at(new), at(path)):
+        if replaces:
+            store.rename(at(old), at(path))
+        raise OSError(f"{path} cannot be written")
+    if replaces:
+        store.delete(at(old), True)
+    return spark.read.schema(table.schema).parquet(path)

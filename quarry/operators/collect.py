@@ -6,7 +6,10 @@ what a sequential walk in source order gives, expressed as windows; see place().
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -35,6 +38,29 @@ def planned(files: DataFrame, project_name: str = "project", existing: DataFrame
     return main.unionByName(allocated(other, project_name))
 
 
+def existing(spark: SparkSession, target: str) -> DataFrame:
+    """(rel, digest) of the files in a collection's main root. A link or anything else that is no file has no digest."""
+    root, rows = os.path.join(target, MAIN), []
+    for folder, folders, files in os.walk(root):
+        for name in files + [x for x in folders if os.path.islink(os.path.join(folder, x))]:
+            path = os.path.join(folder, name)
+            rows.append((os.path.relpath(path, root), path if os.path.isfile(path) and not os.path.islink(path) else None))
+
+    @F.udf("string")
+    def digest(path: str | None) -> str | None:  # a file per row: nothing to vectorise
+        if path is None:
+            return None
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+
+    return spark.createDataFrame(rows, "rel string, path string").select("rel", digest("path").alias("digest"))
+
+
+def irregular(plan_files: DataFrame, there: DataFrame) -> DataFrame:
+    """(rel) of files that would go where a link or something else that is no file stands: an error of the whole collection."""
+    return there.filter("digest is null").select("rel").join(plan_files.select("rel").distinct(), "rel", "left_semi")
+
+
 def allocated(versions: DataFrame, project_name: str) -> DataFrame:
     """versions (src, rel, sroot, digest, gkey) with conflict root names.
 

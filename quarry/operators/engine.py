@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from concurrent.futures import CancelledError
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.sources.contents import Contents
+
 UNIT_RESULT = "unit string, source string, warnings array<string>, issues array<struct<internal_name:string,error_type:string,reason:string>>, error_type string, error string"
 PARTIAL = "NativePartialSource"
 #: What a partial source's end-of-line comment starts with and says.
@@ -143,9 +146,10 @@ def run_unit(engine: Engine, members: list[Member]) -> tuple:
         return None, [], [], type(e).__name__, describe(e)
 
 
-def transformed(units: DataFrame, engine: Engine = SUMMARY) -> DataFrame:
-    """units (unit, members array<struct<name, origin, digest, content>>) to UNIT_RESULT. Lazy: write or checkpoint the result before
-    it is split, or the engine runs once per branch."""
+def transformed(units: DataFrame, engine: Engine = SUMMARY, admission: Callable[[int | None], AbstractContextManager] = nullcontext) -> DataFrame:
+    """units (unit, members array<struct<name, origin, digest, path, entry>>, or content in place of path and entry) to UNIT_RESULT. A
+    family's contents are read where it is transformed. Lazy: write or checkpoint the result before it is split, or the engine runs once per branch.
+    admission: called with the engine's hint, a context that lets a transform run when the machine bears it."""
     if engine.requires:
         engine.requires()
 
@@ -153,16 +157,20 @@ def transformed(units: DataFrame, engine: Engine = SUMMARY) -> DataFrame:
         try:
             if engine.opened:
                 engine.opened()
-            yield from results(batches)
+            with Contents() as contents:
+                yield from results(batches, contents)
         finally:
             if engine.closed:
                 engine.closed()
 
-    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def results(batches: Iterator[pa.RecordBatch], contents: Contents) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a family at a time: contents may be large
                 unit, members = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                row = (unit, *run_unit(engine, [Member(**m) for m in members]))
+                got = [Member(m["name"], m["origin"], m["digest"], contents.read(m["path"], m["entry"], m["digest"]) if m.get("path") else m["content"]) for m in members]
+                with admission(engine.hint):
+                    row = (unit, *run_unit(engine, got))
+                del got
                 issue = pa.list_(pa.struct([("internal_name", pa.string()), ("error_type", pa.string()), ("reason", pa.string())]))
                 kinds = [pa.string(), pa.string(), pa.list_(pa.string()), issue, pa.string(), pa.string()]
                 names = ["unit", "source", "warnings", "issues", "error_type", "error"]

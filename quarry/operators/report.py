@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ SOURCES, FAILURES, REPORT = "export-sources.tsv", "decompilation-failures.csv",
 SOURCES_HEADER = "file_entry\tsource"
 FAILURES_HEADER = ("完整类名", "来源文件或JAR条目", "字节码SHA-256", "计划导出路径", "异常类型", "失败原因")
 PREVIEW = 20
+LOG = logging.getLogger("quarry")
 
 
 def provenance(units: DataFrame) -> DataFrame:
@@ -46,13 +49,31 @@ def preview(warnings: DataFrame, order: list[str], n: int = PREVIEW) -> DataFram
     return warnings.orderBy(*order).limit(n)
 
 
+def logged(failed: DataFrame, limit: int = PREVIEW) -> int:
+    """Log failures (origin, reason): the first of them as warnings, all others only where debugging asks for them. Returns how many were warnings."""
+    told = 0
+    rows = failed.select("origin", "reason").orderBy("origin", "reason")
+    for row in rows.toLocalIterator() if LOG.isEnabledFor(logging.DEBUG) else rows.limit(limit).collect():
+        LOG.log(logging.WARNING if told < limit else logging.DEBUG, "export item failed: origin=%s: %s", row["origin"], row["reason"])
+        told += 1
+    return min(told, limit)
+
+
 def summary(counts: dict[str, int], complete: bool, reason: str = "") -> str:
     """The last lines of the text report."""
     head = "status: complete" if complete else "status: incomplete (failed or cancelled)"
-    names = ("discovered", "filtered", "duplicates", "exported", "complete_files", "partial_files", "failed_rows", "warnings")
+    names = ("discovered", "filtered", "duplicates", "exported", "complete_files", "partial_files", "failed_rows", "warnings", "written_files")
     return "\n".join([head, *[f"{k}: {counts[k]}" for k in names if k in counts], *([f"reason: {reason}"] if reason else [])]) + "\n"
 
 
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Frames of one row and different columns as one row."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def run_counts(items: DataFrame, results: DataFrame | None, failed: DataFrame | None) -> DataFrame:
     """One row: the counters of a run. Families dropped as equal are not duplicates; a failed unit is one warning and a row for each member."""
     zero = F.lit(0).cast("long")

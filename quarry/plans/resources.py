@@ -1,7 +1,10 @@
-"""How many transforms run at once, and how often progress is told."""
+"""How many transforms run at once on a machine, sampled anew for each, and how often progress is told."""
 
 from __future__ import annotations
 
+import fcntl
+import os
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -46,6 +49,48 @@ def partitions_for(units: int, cores: int, per_batch: int = PER_BATCH) -> int:
     return max(1, min(units, max(-(-units // per_batch), cores)))
 
 
+def sample() -> dict[str, int]:
+    """This machine now, as limit() takes it. A Python worker has no heap of its own: the machine's memory stands for it."""
+    total, free = 0, -1
+    try:
+        with open("/proc/meminfo", encoding="ascii") as f:
+            known = {k: int(v.split()[0]) << 10 for k, _, v in (line.partition(":") for line in f)}
+        total, free = known.get("MemTotal", 0), known.get("MemAvailable", -1)
+    except OSError:
+        pass
+    return {"cpus": os.cpu_count() or 1, "total": total, "free": free, "heap_max": total, "heap_used": max(0, total - max(0, free))}
+
+
+class Admission:
+    """Lets as many transforms run at once on a machine as limit() says, sampled anew until there is room. Workers are processes of their
+    own, so the permits are locks on empty files in a folder of the machine; a worker that dies gives its permit back."""
+
+    WAIT = 0.05
+
+    def __init__(self, hint: int | None = None, sampler: Callable[[], dict[str, int]] = sample, folder: str | None = None) -> None:
+        self.hint, self.sampler = hint, sampler
+        self.folder = folder or os.path.join(tempfile.gettempdir(), f"quarry-permits-{os.getuid()}")
+        self.held = None
+
+    def __enter__(self) -> Admission:
+        os.makedirs(self.folder, exist_ok=True)
+        while True:
+            for k in range(limit(**self.sampler(), hint=self.hint)):
+                f = open(os.path.join(self.folder, str(k)), "a")  # noqa: SIM115
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    self.held = f
+                    return self
+                except BlockingIOError:
+                    f.close()
+            time.sleep(self.WAIT)
+
+    def __exit__(self, *_: object) -> None:
+        if self.held:
+            self.held.close()
+            self.held = None
+
+
 class Progress:
     """Tells at most one message per interval; a message that is not told is not rendered either."""
 

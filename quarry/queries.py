@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import rules, text
-from quarry.operators import catalog, collect, dedup, family, report, resolve
+from quarry.operators import catalog, dedup, family, report, resolve
 from quarry.plans import resources
 from quarry.session import ready
 
@@ -75,9 +75,8 @@ def flag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V}, c AS (SELECT count(*) n, count(DISTINCT digest) d FROM v GROUP BY lower(name)) SELECT (SELECT count(*) FROM u) AS discovered, (SELECT count(*) FROM u) - (SELECT count(*) FROM v) AS duplicates, (SELECT count(*) FROM v) AS exported, (SELECT coalesce(sum(n), 0)::BIGINT FROM c WHERE n > 1) AS in_conflict, (SELECT count(*) FROM c WHERE n > 1) AS conflict_groups")
 def export_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = items(spark, sf_dir)
-    groups = u.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy(F.lower("name").alias("l")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kept"))
-    many = F.col("kept") > 1
-    return groups.agg(F.sum("seen").alias("discovered"), (F.sum("seen") - F.sum("kept")).alias("duplicates"), F.sum("kept").alias("exported"), F.coalesce(F.sum(F.when(many, F.col("kept"))), F.lit(0)).alias("in_conflict"), F.count(F.when(many, 1)).alias("conflict_groups"))
+    seen = report.run_counts(u, None, None).select("discovered", "duplicates", (F.col("discovered") - F.col("duplicates")).alias("exported"))
+    return report.one_row(seen, dedup.conflicts(dedup.distinct_versions(u)))
 
 
 @query(f"WITH {U} SELECT count(*) AS discovered, count(*) FILTER (doc_id % 7 = 0) AS filtered, count(*) FILTER (doc_id % 7 <> 0) - count(DISTINCT CASE WHEN doc_id % 7 <> 0 THEN name || digest END) AS duplicates FROM u")
@@ -212,16 +211,6 @@ def byte_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text.byte_bounded(F.col("text"))).cast("long").alias("kept"))
 
 
-def planned_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conflict roots for documents as loose classes. Against a sequential model in the tests: SQL would only repeat the windows."""
-    u = items(spark, sf_dir)
-    files = u.select(F.concat("origin", F.lit(".class")).alias("src"), F.concat("name", F.lit(".class")).alias("rel"), F.col("grp").alias("sroot"), "digest")
-    return collect.planned(files).select("src", "rel", "root", "ordinal")
-
-
-QUERIES["conflict_roots"] = planned_versions
-
-
 @query("SELECT p.module, p.library FROM (SELECT DISTINCT lang AS module, 'all-in-one' AS library FROM documents) p UNION SELECT DISTINCT lang, source FROM documents WHERE lang <> 'en'")
 def attach_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -240,8 +229,7 @@ def resource_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT url, page_id, row_number() OVER (PARTITION BY lower(url) ORDER BY page_id) AS nth FROM pages")
 def path_seen_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy(F.lower("url")).orderBy("page_id")
-    return table(spark, sf_dir, "pages").select("url", "page_id", F.row_number().over(w).cast("long").alias("nth"))
+    return dedup.nth_seen(table(spark, sf_dir, "pages").select("url", "page_id"), F.lower("url"), "page_id")
 
 
 @query("SELECT page_id, NOT (url = '' OR regexp_matches(url, '[\\\\:]') OR len(list_filter(string_split(url, '/'), lambda s: s IN ('', '.', '..'))) > 0) AS safe FROM pages")
@@ -250,3 +238,5 @@ def entry_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "conflict_paths"
+
+from quarry import scan_queries  # noqa: E402, F401  it adds its queries to the tables above

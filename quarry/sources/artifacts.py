@@ -11,7 +11,7 @@ never followed, each path is read once, and folders are left out by mode:
     loose       all class files of a project: .git .hg .svn and earlier collections are left out
     jars        all archives of a project: hidden folders, node_modules, target, build and earlier collections are left out
 
-An input partition is one archive or a batch of loose files.
+An input partition is a batch of loose files, or of archives that have BATCH_BYTES together; a larger archive is one of its own.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from quarry.session import ready
 SCHEMA = "path string, entry string, depth int, origin string, grp string, name string, parent string, digest string, size long, status string, error string, content binary"
 # Limits and folder names.
 MAX_CLASS, MAX_NESTED, MAX_DEPTH, BATCH = 64 << 20, 512 << 20, 8, 40
+BATCH_BYTES = 4 << 20
 COLLECTED = "all-in-one"
 VERSION_CONTROL = frozenset((".git", ".hg", ".svn"))
 BUILD = frozenset(("node_modules", "target", "build", COLLECTED))
@@ -169,7 +170,16 @@ class ArtifactReader(DataSourceReader):
         files, problems = discover(self.roots, self.mode, self.output)
         loose = [f for f in files if kind_of(f) == "class"]
         out: list[InputPartition] = [Files(loose[i : i + BATCH]) for i in range(0, len(loose), BATCH)]
-        out += [Files([f]) for f in files if kind_of(f) == "jar"]
+        held, size = [], 0
+        for f in files:
+            if kind_of(f) == "jar":
+                own = os.path.getsize(f) if os.path.exists(f) else 0
+                if held and (size + own > BATCH_BYTES or len(held) >= BATCH):
+                    out.append(Files(held))
+                    held, size = [], 0
+                held, size = [*held, f], size + own
+        if held:
+            out.append(Files(held))
         if problems:
             out.append(Files([f"\0{p}\0{why}" for p, why in problems]))
         return out or [Files([])]

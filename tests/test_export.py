@@ -135,7 +135,7 @@ def test_partial_marks_only_in_comments():
 def test_folder_sink_refuses(tmp_path):
     root = str(tmp_path / "r")
     w = sinks.FolderWriter(root, False, False)
-    w.write(iter([{"file_entry": "a/b", "content": b"1", "part": None}]))
+    w.write(iter([{"file_entry": "a/b", "content": b"1", "part": None, "path": None, "entry": None, "digest": None}]))
     with pytest.raises(sinks.ExportWriteError):
         sinks.put(root, "a/b", b"2")
     for bad in ("../x", "/x", "a\\b", ""):
