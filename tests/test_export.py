@@ -5,9 +5,10 @@ import zipfile
 import pytest
 from classes import jar, make, put
 
-from quarry.operators import engine
+from quarry.operators import engine, report
 from quarry.plans import control, export
 from quarry.sources import artifacts, sinks
+from quarry.sources.contents import Changed, Contents
 
 
 def files(root):
@@ -146,3 +147,94 @@ def test_folder_sink_refuses(tmp_path):
         sinks.put(root, "link/x", b"")
     assert not [f for f in os.listdir(os.path.join(root, "a")) if f.endswith(".part")]
     assert sinks.next_free(str(tmp_path), "r") == str(tmp_path / "r-2")
+
+
+def test_plans_carry_no_contents(spark, tmp_path, monkeypatch):
+    """No exchange, window or cache holds a class's bytes: rows say where they are, and the writer reads them there."""
+    put(tmp_path, "l/a.jar", jar({"demo/A.class": make("demo/A"), "in.jar": jar({"B.class": make("demo/B"), "C.class": make("demo/C")})}))
+    put(tmp_path, "l/D.class", make("demo/D"))
+    seen = {}
+    real = sinks.export
+
+    def spy(rows, *args, **kwargs):
+        seen["rows"] = {r.file_entry: r for r in rows.filter("path is not null").collect()}
+        seen["plan"] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return real(rows, *args, **kwargs)
+
+    monkeypatch.setattr(sinks, "export", spy)
+    before = set(os.listdir(shared(spark)))
+    export.export_classes(spark, [str(tmp_path / "l")], str(tmp_path / "out"), project=str(tmp_path))
+    assert set(seen["rows"]) == {f"demo/{x}.class" for x in "ABCD"} and all(r.content is None for r in seen["rows"].values())
+    exchanges = [line for line in seen["plan"].splitlines() if "Repartition" in line or "Window" in line or "Aggregate" in line]
+    assert exchanges and not [x for x in exchanges if "content" in x]
+    assert files(tmp_path / "out")["demo/B.class"] == make("demo/B")
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0 and set(os.listdir(shared(spark))) == before
+
+
+def shared(spark):
+    return spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+
+
+def test_contents_are_those_that_were_scanned(tmp_path):
+    data = make("demo/B")
+    path = put(tmp_path, "a.jar", jar({"x/one.jar": jar({"two.jar": jar({"B.class": data, "C.class": b"c"}), "D.class": b"d"}), "E.class": b"e"}))
+    with Contents() as c:
+        assert [c.read(str(path), e) for e in ("x/one.jar!/two.jar!/B.class", "x/one.jar!/two.jar!/C.class", "x/one.jar!/D.class", "E.class")] == [data, b"c", b"d", b"e"]
+        assert c.read(str(put(tmp_path, "F.class", b"f"))) == b"f"
+        with pytest.raises(Changed):
+            c.read(str(tmp_path / "F.class"), None, "0" * 64)
+
+
+def test_archives_in_pieces_and_zip64(tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks.Archive, "MANY", 2)  # more entries than a plain directory can count
+    row = lambda name, content, part=None: {"file_entry": name, "content": content, "part": part, "path": None, "entry": None, "digest": None}
+    w = sinks.ZipWriter(str(tmp_path / "a.zip"))
+    put(tmp_path, "big", b"x" * 3_000_000)
+    one = w.write(iter([row("r.txt", b"b\n", 2), row("a/ü", b"1"), row("z", b"")]))
+    two = w.write(iter([row("r.txt", b"a\n", 1), row("r.txt", b"c\n", 3), {"file_entry": "copy", "content": None, "part": None, "path": str(tmp_path / "big"), "entry": None, "digest": None}]))
+    w.commit([one, two, None])
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert z.testzip() is None and z.namelist() == ["a/ü", "copy", "r.txt", "z"]
+        assert [z.read(n) for n in z.namelist()] == [b"1", b"x" * 3_000_000, b"a\nb\nc\n", b""]
+    assert os.listdir(tmp_path).count("a.zip") == 1 and not [f for f in os.listdir(tmp_path) if f.endswith(".parts")]
+
+
+def test_an_incomplete_export_says_so(spark, tmp_path):
+    put(tmp_path, "l/A.class", make("demo/A"))
+    told = []
+    c = control.Cancellation(spark)
+    tell = lambda text: told.append(text) or (text == "write" and c.cancel())
+    with pytest.raises(InterruptedError):
+        export.export_classes(spark, [str(tmp_path / "l")], str(tmp_path / "out"), project=str(tmp_path), keep_completed=True, cancel=c, progress=tell)
+    assert [t for t in told if ":" not in t] == ["scan", "plan", "write"]
+    if (tmp_path / "out").exists():  # cancelled while it wrote, or right after
+        assert "export-report.txt" in os.listdir(tmp_path / "out")
+    with pytest.raises(RuntimeError), control.Flow(spark).running(str(tmp_path), True):
+        raise RuntimeError("disk full")
+    said = (tmp_path / "export-report.txt").read_text()
+    assert said.startswith("status: incomplete") and "reason: RuntimeError: disk full" in said and "written_files:" in said
+
+
+def interrupting(members):
+    try:
+        raise InterruptedError("stop")
+    except InterruptedError as e:
+        raise ValueError("wrapped") from e
+
+
+def test_interruption_is_no_failure_of_an_item(spark, tmp_path):
+    with pytest.raises(InterruptedError):
+        engine.run_unit(engine.Engine(interrupting), [engine.Member("A", "o", "d", b"")])
+    put(tmp_path, "l/A.class", make("demo/A"))
+    with pytest.raises(Exception, match="InterruptedError"):
+        export.export_families(spark, [str(tmp_path / "l")], str(tmp_path / "out"), engine.Engine(interrupting), project=str(tmp_path))
+    assert not (tmp_path / "out").exists()
+
+
+def test_failures_are_logged_up_to_a_limit(spark, caplog):
+    rows = spark.createDataFrame([(f"o{i:02}", "why") for i in range(30)], "origin string, reason string")
+    with caplog.at_level("WARNING", logger="quarry"):
+        assert report.logged(rows) == 20 and len(caplog.records) == 20
+    caplog.clear()
+    with caplog.at_level("DEBUG", logger="quarry"):
+        assert report.logged(rows) == 20 and [r.levelname for r in caplog.records] == ["WARNING"] * 20 + ["DEBUG"] * 10

@@ -159,3 +159,89 @@ def test_incremental_catalogue_keeps_first_arrivals(spark, tmp_path):
     q = incremental.catalogue(incremental.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_positions_of_wide_rows(spark):
+    """Partitions are coalesced by their sizes at run time, which differ between a narrow and a wide evaluation; no row may be lost."""
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("k"), F.repeat(F.lit("wide "), 40).alias("w"))
+        got = dedup.positions(df, ["k"])
+        assert got.columns == ["k", "w", "position"]
+        assert got.agg(F.count("w"), F.min("position"), F.max("position"), F.count_distinct("position")).first() == (100_000, 0, 99_999, 100_000)
+        assert [r.k for r in got.orderBy("position").limit(50).collect()] == sorted(i * 7919 % 100_003 for i in range(100_000))[:50]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_roots_at_any_depth(spark):
+    chain = [("a", f"N{i:04}", f"N{i - 1:04}" if i else None) for i in range(1000)]
+    ring = [("r", f"R{i:03}", f"R{(i + 1) % 100:03}") for i in range(100)] + [("r", "tail", "R000"), ("r", "tail2", "tail")]
+    got = {(r.scope, r.name): (r.root, r.depth) for r in family.roots(spark.createDataFrame([*chain, *ring, ("z", "self", "self"), ("z", "lost", "gone")], "scope string, name string, parent string")).collect()}
+    want = {("a", f"N{i:04}"): ("N0000", i) for i in range(1000)} | {("r", f"R{i:03}"): (f"R{(i - 1) % 100:03}", 99) for i in range(100)}
+    assert got == want | {("r", "tail"): ("R099", 100), ("r", "tail2"): ("R099", 101), ("z", "self"): ("self", 0), ("z", "lost"): ("lost", 0)}
+    assert family.roots(spark.createDataFrame([], "scope string, name string, parent string")).count() == 0
+
+
+def test_collisions_of_a_common_name(spark):
+    df = spark.createDataFrame([(n,) for n in ("a/X", "A/x", "b/Y", "module-info", "module-info", "module-info")], "name string")
+    assert sorted((r.name, r.n_same) for r in dedup.collisions(df).collect()) == sorted([("a/X", 2), ("A/x", 2), ("b/Y", 1), *[("module-info", 3)] * 3])
+
+
+def test_admission_follows_the_machine(tmp_path):
+    import threading
+
+    cpus, order = [2], []
+    now = lambda: {"cpus": cpus[0], "total": 32 << 30, "free": 24000 * MIB, "heap_max": 4096 * MIB, "heap_used": 0}
+    permit = lambda: resources.Admission(None, now, str(tmp_path / "permits"))
+
+    def second():
+        with permit():
+            order.append("second")
+
+    with permit():  # one runs at a time
+        t = threading.Thread(target=second)
+        t.start()
+        t.join(0.3)
+        assert order == [] and t.is_alive()
+        cpus[0] = 3  # the limit is sampled anew: there is room for another
+        t.join(5)
+        assert order == ["second"]
+    assert set(resources.sample()) == {"cpus", "total", "free", "heap_max", "heap_used"} and resources.limit(**resources.sample()) >= 1
+
+
+def test_a_catalog_is_replaced_as_a_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    assert catalog.committed(spark.range(3), path).count() == 3
+    old = spark.read.parquet(path)
+    assert catalog.committed(old.filter("id > 0"), path).count() == 2 and spark.read.parquet(path).count() == 2
+    with pytest.raises(Exception, match="boom"):
+        catalog.committed(spark.range(1).select(F.raise_error(F.lit("boom")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_adding_to_a_collection(spark, tmp_path):
+    p = tmp_path / "proj"
+    put(p, "m/A.class", make("A"))
+    put(p, "m/B.class", make("B"))
+    roots, mods = spark.createDataFrame([], "library string, ordinal long, root string, kind string"), spark.createDataFrame([("m",)], "module string")
+    has, done = spark.createDataFrame([], "module string, library string"), []
+    collected = lambda **more: export.collect_dependencies(spark, str(p), roots, has, mods, tables=f"file://{tmp_path}/catalog", succeeded=lambda: done.append(1), **more)
+    collected()
+    put(p, "m/B.class", make("B", body=b"new"))
+    put(p, "x.jar", jar({"A.class": make("A")}))
+    library, attached = collected(merge=True)
+    out = p / "all-in-one"
+    got = {os.path.relpath(os.path.join(d, f), out) for d, _, fs in os.walk(out) for f in fs}
+    assert got == {"classes/A.class", "classes/B.class", "classes-conflicts/m/B.class", "classes-conflicts/sources.tsv", "x.jar"}
+    assert (out / "classes/B.class").read_bytes() == make("B") and len(done) == 2 and attached.count() == 1
+    assert spark.read.parquet(f"file://{tmp_path}/catalog/library_root").count() == library.count() == 3
+    (out / "classes/A.class").unlink()
+    os.symlink(p / "m/A.class", out / "classes/A.class")
+    with pytest.raises(FileExistsError):
+        collected(merge=True)
+    assert len(done) == 2
