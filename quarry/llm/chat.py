@@ -10,8 +10,8 @@ or a text gets one backslash after its first character, and one that already has
 more, so escaping is one to one; what reads the text back takes one off.
 
 Defined cases: a null text or role is empty; turns sort by turn (nulls first), then role and text, so ties and
-repeated rows have a fixed order; a null conversation id is a conversation; an empty table gives an empty result;
-columns other than the four named are ignored.
+repeated rows have a fixed order; a row without a conversation id is a conversation of its own, so such rows never meet in one
+task; an empty table gives an empty result; columns other than the four named are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ def unescape(text: Column) -> Column:
 def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, formatted), one row per conversation."""
     row = F.struct(F.col(turn).alias("turn"), escape(F.coalesce(role, F.lit(""))).alias("role"), escape(F.coalesce(text, F.lit(""))).alias("text"))
-    whole = turns.groupBy(F.col(conv)).agg(F.sort_array(F.collect_list(row)).alias("_c_turns"))
+    rows = turns.select(F.col(conv), F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("_c_alone"), row.alias("_c_row"))
+    whole = rows.groupBy(F.col(conv), "_c_alone").agg(F.sort_array(F.collect_list("_c_row")).alias("_c_turns"))
     t = F.col("_c_turns")
     # The positions at which a block starts: where the role differs from the turn before.
     first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))

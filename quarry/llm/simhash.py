@@ -4,8 +4,8 @@ A document's fingerprint has a bit set where over half of its 3-word shingles' X
 that differ in at most 2r bits have a common variant within r bits of each, so every distinct fingerprint emits its
 ball of radius r (r = 1: itself and its 64 one-bit neighbours), the shuffle brings equal variants together, and
 colliding fingerprints are verified. A bucket cannot hold more than one ball (65 distinct fingerprints), and
-any two of its members are within 2r bits, so linking its neighbours in order loses no connection: the number of
-links is linear in the number of fingerprints, whatever the size of a group of copies.
+any two of its members are within 2r bits, so linking each to the least loses no connection: the number of
+links is linear in the number of fingerprints, whatever the size of a group of copies, and ways through a group are short.
 
 Defined cases: a text without words, or null, has fingerprint zero and is linked like any other; fewer than three
 words make one shingle; null document ids take no part in the choice of a component's id (null if it has no
@@ -61,8 +61,8 @@ def links(fps: DataFrame) -> DataFrame:
         raise ValueError("balls are enumerated for radius 1")
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     ball = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
-    met = ball.select(F.col("fp").alias("a"), before.alias("b")).filter(F.col("b").isNotNull())
+    least = F.min("fp").over(Window.partitionBy("variant"))
+    met = ball.select(F.col("fp").alias("a"), least.alias("b")).filter("a > b")
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * RADIUS).distinct()
 
 

@@ -1,10 +1,14 @@
 """Near copies by the Jaccard similarity of their word shingles: MinHash bands find candidates, exact sets verify them.
 
 Two texts are near copies if the sets of their SHINGLE-word shingles have a Jaccard similarity of MIN_SIMILARITY or more.
-A text has BANDS hashes of ROWS minima each; texts that share one are candidates. At the limit a pair is a candidate with
-a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996, above it with more. Of a bucket's members each is first verified against the least;
-then all pairs whose members are not connected yet. So every candidate pair is either verified or connected, and a large group of
-copies takes pairs in proportion to its size.
+A text has BANDS hashes of ROWS minima each; texts that share one share a bucket. At the limit a pair shares a bucket with
+a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996, above it with more. Of a bucket's members each is first verified against the least, which
+connects a large group of copies by as many pairs as it has members.
+
+Where a bucket then still has members that are not connected, its texts share much, but perhaps a passage that is common to thousands: all
+pairs would be a square. These texts are compared by prefixes instead: with the shingles of each in order of how many of these texts have
+them, rarest first, two texts of a similarity s share one among their first (1 - s) n + 1. No pair is lost, and what is common to
+many comes last, so it makes no candidates.
 
 Defined cases: texts without words, and rows without a key, are no copies of anything; fewer than SHINGLE words make one shingle.
 """
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +56,13 @@ def _bands(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     base.relieve()
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _list(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in it:
+        yield pa.array([shingles(x.as_py()).view("int64") for x in texts], pa.list_(pa.int64()))
+    base.relieve()
+
+
 @F.arrow_udf(T.BinaryType())
 def _sets(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in it:
@@ -95,13 +106,27 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     labelled = members.join(named.select(F.col("node").alias("a"), "root"), "a", "left").select("bucket", "a", F.coalesce("root", "a").alias("root"))
     labelled = base.materialise(labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
-    labelled = labelled.join(mixed, "bucket", "left_semi")
-    other = labelled.select("bucket", F.col("a").alias("b"), F.col("root").alias("other"))
-    rest = labelled.join(other, "bucket").filter("a > b and root != other").select("a", "b").distinct()
-    rest = base.materialise(rest.join(first, ["a", "b"], "left_anti"))
+    some = base.materialise(labelled.join(mixed, "bucket", "left_semi").select("a", "root").distinct())
+    if some.isEmpty():
+        return found
+    rest = base.materialise(_by_prefix(some, docs, text, key).join(first, ["a", "b"], "left_anti"))
     return found if rest.isEmpty() else found.unionByName(_verified(rest, docs, text, key))
 
 
+def _by_prefix(some: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Candidate pairs (a, b), a > b, of different roots among some (a, root): all that are near copies, and few others."""
+    own = docs.join(base.bounded(some), F.col(key) == F.col("a")).select("a", "root", _list(F.col(text).cast("binary")).alias("own"))
+    rows = base.materialise(own.select("a", "root", F.size("own").alias("size"), F.explode("own").alias("s")))
+    shared = base.materialise(rows.groupBy(F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("held", F.col("n")))
+    rows = base.looked_up(rows, "s", shared, "t", "n").select("a", "root", "size", "s", F.coalesce("held", F.lit(1)).alias("held"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy("held", "s"))
+    prefix = F.col("size") - F.ceil(F.lit(MIN_SIMILARITY) * F.col("size") - 1e-9) + 1
+    rows = base.materialise(rows.withColumn("nth", nth).filter((F.col("nth") <= prefix) & (F.col("held") > 1)).select("a", "root", "size", "s"))
+    other = rows.select(F.col("a").alias("b"), F.col("root").alias("other"), F.col("size").alias("least"), "s")
+    close = F.least("size", "least") >= MIN_SIMILARITY * F.greatest("size", "least") - 1e-6
+    return rows.join(other, "s").filter(F.expr("a > b and root != other") & close).select("a", "b").distinct()
+
+
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those that are connected to one with a smaller key. Keys must not repeat."""
     p = base.prefix(docs, "_j_")
