@@ -12,13 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import drop, made, mark, materialise, ready, released, scratch
-
-__all__ = ["bounded", "crc32", "drop", "looked_up", "made", "mark", "materialise", "partitions", "prefix", "read", "ready", "released", "relieved", "scratch", "slices"]
-
-#: Rows of a side may be broadcast when its measured size is at most so many bytes.
-BROADCAST_BYTES = 32 << 20
+from quarry.session import BROADCAST_BYTES, bounded, drop, made, mark, materialise, ready, released, scratch, size_of
 
+__all__ = ["BROADCAST_BYTES", "bounded", "crc32", "drop", "looked_up", "made", "mark", "materialise", "partitions", "prefix", "read", "ready", "released", "relieved", "scratch", "size_of", "slices"]
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,19 +31,6 @@ def prefix(df: DataFrame, start: str) -> str:
     return start
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes that its rows take, measured: the lengths of texts, and 16 for each other value."""
-    texts = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
-    one = sum(texts, F.lit(16 * len(df.columns))).cast("long")
-    return df.agg(F.coalesce(F.sum(one), F.lit(0))).first()[0]
-
-
-def bounded(small: DataFrame) -> DataFrame:
-    """small with a broadcast hint if its rows, measured, take BROADCAST_BYTES at most; else as it is,
-    so that the join shuffles (and AQE splits hot partitions)."""
-    return F.broadcast(small) if size_of(small) <= BROADCAST_BYTES else small
-
-
 def looked_up(rows: DataFrame, column: str, table: DataFrame, key: str, n: str) -> DataFrame:
     """rows left joined to table (without n) where column equals key. table: a row for each key, and n, how many of the rows have it.
 
