@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import fcntl
+import errno
 import os
-import tempfile
+import socket
 import time
 from collections.abc import Callable
 
@@ -63,26 +63,27 @@ def sample() -> dict[str, int]:
 
 class Admission:
     """Lets as many transforms run at once on a machine as limit() says, sampled anew until there is room. Workers are processes of their
-    own, so the permits are locks on empty files in a folder of the machine; a worker that dies gives its permit back."""
+    own, so a permit is a name that one process at a time can hold on a machine: that of a socket without a file. A worker that dies
+    gives its permit back."""
 
     WAIT = 0.05
 
-    def __init__(self, hint: int | None = None, sampler: Callable[[], dict[str, int]] = sample, folder: str | None = None) -> None:
-        self.hint, self.sampler = hint, sampler
-        self.folder = folder or os.path.join(tempfile.gettempdir(), f"quarry-permits-{os.getuid()}")
-        self.held = None
+    def __init__(self, hint: int | None = None, sampler: Callable[[], dict[str, int]] = sample, name: str = "quarry-permit") -> None:
+        self.hint, self.sampler, self.name = hint, sampler, f"\0{name}-{os.getuid()}-"
+        self.held: socket.socket | None = None
 
     def __enter__(self) -> Admission:
-        os.makedirs(self.folder, exist_ok=True)
         while True:
             for k in range(limit(**self.sampler(), hint=self.hint)):
-                f = open(os.path.join(self.folder, str(k)), "a")  # noqa: SIM115
+                permit = socket.socket(socket.AF_UNIX, socket.SOCK_DGRAM)
                 try:
-                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-                    self.held = f
+                    permit.bind(self.name + str(k))
+                    self.held = permit
                     return self
-                except BlockingIOError:
-                    f.close()
+                except OSError as e:
+                    permit.close()
+                    if e.errno != errno.EADDRINUSE:  # a system without such names: nothing to hold
+                        return self
             time.sleep(self.WAIT)
 
     def __exit__(self, *_: object) -> None:

@@ -22,6 +22,7 @@ import json
 import os
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import Executor, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ from quarry.session import ready
 SCHEMA = "path string, entry string, depth int, origin string, grp string, name string, parent string, digest string, size long, status string, error string, content binary"
 # Limits and folder names.
 MAX_CLASS, MAX_NESTED, MAX_DEPTH, BATCH = 64 << 20, 512 << 20, 8, 40
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, LISTERS = 4 << 20, 16
 COLLECTED = "all-in-one"
 VERSION_CONTROL = frozenset((".git", ".hg", ".svn"))
 BUILD = frozenset(("node_modules", "target", "build", COLLECTED))
@@ -52,27 +53,37 @@ def skipped(mode: str, name: str) -> bool:
     return name in VERSION_CONTROL or (mode == "loose" and name == COLLECTED)
 
 
-def walk(root: str, mode: str, output: str | None, seen: set[str], problems: list[tuple[str, str]]) -> Iterator[str]:
-    """Regular files below root, without links. seen: folders that another root has led to."""
-    folders = [root]
-    while folders:
-        folder = folders.pop()
-        real = os.path.normpath(folder)
-        if real in seen or (output and (real == output or real.startswith(output + "/"))):
-            continue
-        seen.add(real)
-        try:
-            with os.scandir(folder) as it:
-                entries = sorted(it, key=lambda e: e.name)
-        except OSError as e:
-            problems.append((folder, f"{type(e).__name__}: {e}"))
-            continue
-        for e in entries:
-            if e.is_dir(follow_symlinks=False):
-                if not skipped(mode, e.name):
-                    folders.append(e.path)
-            elif e.is_file(follow_symlinks=False):
-                yield e.path
+def listed(folder: str) -> tuple[list[tuple[str, str]], list[str], str | None]:
+    """(folders (path, name), regular files, why it cannot be listed). Links are neither."""
+    folders, files = [], []
+    try:
+        with os.scandir(folder) as it:
+            for e in it:
+                if e.is_dir(follow_symlinks=False):
+                    folders.append((e.path, e.name))
+                elif e.is_file(follow_symlinks=False):
+                    files.append(e.path)
+    except OSError as e:
+        return [], [], f"{type(e).__name__}: {e}"
+    return folders, files, None
+
+
+def walk(root: str, mode: str, output: str | None, seen: set[str], problems: list[tuple[str, str]], threads: Executor) -> Iterator[str]:
+    """Regular files below root, without links, a level of folders at a time. seen: folders that another root has led to."""
+    level = [root]
+    while level:
+        fresh = []
+        for folder in level:
+            real = os.path.normpath(folder)
+            if real not in seen and not (output and (real == output or real.startswith(output + "/"))):
+                seen.add(real)
+                fresh.append(folder)
+        level = []
+        for folder, (folders, files, problem) in zip(fresh, threads.map(listed, fresh), strict=True):
+            if problem:
+                problems.append((folder, problem))
+            level += [path for path, name in folders if not skipped(mode, name)]
+            yield from files
 
 
 def kind_of(path: str) -> str:
@@ -81,25 +92,22 @@ def kind_of(path: str) -> str:
 
 
 def discover(roots: list[str], mode: str, output: str | None) -> tuple[list[str], list[tuple[str, str]]]:
-    """(files, problems): each file once, roots in order of their normal path."""
+    """(files, problems): each file once, by path."""
     seen: set[str] = set()
-    found: dict[str, None] = {}
+    found: set[str] = set()
     problems: list[tuple[str, str]] = []
     wanted = {"registered": ("class", "jar"), "loose": ("class",), "jars": ("jar",)}[mode]
-    for root in sorted({os.path.normpath(r) for r in roots}):
-        if os.path.islink(root):
-            continue
-        if os.path.isdir(root):
-            files = walk(root, mode, output, seen, problems)
-        elif os.path.isfile(root):
-            files = iter((root,))
-        else:
-            problems.append((root, "FileNotFoundError: no such library"))
-            continue
-        for f in files:
-            if kind_of(f) in wanted:
-                found.setdefault(f)
-    return list(found), problems
+    with ThreadPoolExecutor(LISTERS) as threads:
+        for root in sorted({os.path.normpath(r) for r in roots}):
+            if os.path.islink(root):
+                continue
+            if os.path.isdir(root):
+                found.update(f for f in walk(root, mode, output, seen, problems, threads) if kind_of(f) in wanted)
+            elif os.path.isfile(root):
+                found.update((root,) if kind_of(root) in wanted else ())
+            else:
+                problems.append((root, "FileNotFoundError: no such library"))
+    return sorted(found), problems
 
 
 def label(path: str, project: str) -> str:
