@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -83,6 +84,7 @@ def tokens(html: str, weights: dict[str, float] | None) -> Iterator[Token]:
     """Text and tags in page order, without what can't be content. weights: None while they are still to be learned."""
     skip, depth, inside, at, end = "", 0, 0, 0, len(html)
     opened: list[tuple[str, tuple[str, ...]]] = []
+    count: Counter[str] = Counter()  # of the open elements, by tag
     while at < end:
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -112,9 +114,10 @@ def tokens(html: str, weights: dict[str, float] | None) -> Iterator[Token]:
             inside = max(0, inside + (-1 if closing else 1))
         if closing:
             keys = (tag,)
-            if any(t == tag for t, _ in opened):
+            if count[tag]:
                 while opened:  # what is still open within ends with it
                     t, keys = opened.pop()
+                    count[t] -= 1
                     if t == tag:
                         break
             yield Token("", tag, True, keys)
@@ -132,6 +135,7 @@ def tokens(html: str, weights: dict[str, float] | None) -> Iterator[Token]:
             yield Token("", tag, False, (tag,))
         else:
             opened.append((tag, keys))
+            count[tag] += 1
             yield Token("", tag, False, keys)
 
 
@@ -143,16 +147,19 @@ def dear(parts: list[Token], scores: list[float]) -> list[tuple[int, int]]:
     """[from, to) of the elements with class or id words whose tags cost more than their words bring. What a dear element within
     costs is not held against the one around it."""
     opened: list[tuple[int, Token, float]] = [(-1, Token(""), 0.0)]
+    count: Counter[str] = Counter()
     out = []
     for i, (t, x) in enumerate(zip(parts, scores, strict=True)):
         at, top, total = opened.pop()
         if t.tag and not t.closing and t.tag not in VOID:
             opened += [(at, top, total), (i, t, x)]
+            count[t.tag] += 1
             continue
         opened.append((at, top, total + x))
-        if t.closing and any(o.tag == t.tag for _, o, _ in opened):
+        if t.closing and count[t.tag]:
             while True:
                 at, o, total = opened.pop()
+                count[o.tag] -= 1
                 if "." in o.keys[0] and o.tag not in WHOLE and total < 0:
                     out.append((at, i + 1))
                     total = 0.0
@@ -163,13 +170,20 @@ def dear(parts: list[Token], scores: list[float]) -> list[tuple[int, int]]:
     return out
 
 
+def covered(spans: list[tuple[int, int]], n: int) -> list[bool]:
+    """Which of n tokens some span holds."""
+    steps = [0] * (n + 1)
+    for a, b in spans:
+        steps[a] += 1
+        steps[b] -= 1
+    return [x > 0 for x in accumulate(steps[:n])]
+
+
 def scored(parts: list[Token], weights: dict[str, float]) -> list[float]:
     """Words of a dear element are no gain: they score as much below zero as others above. That is what it costs to pass it."""
     scores = costs(parts, weights)
-    for a, b in dear(parts, scores):
-        for i in range(a, b):
-            scores[i] = -LEAST_LOSS if parts[i].tag else -abs(scores[i])
-    return scores
+    within = covered(dear(parts, scores), len(parts))
+    return [x if not inside else -LEAST_LOSS if t.tag else -x for t, x, inside in zip(parts, scores, within, strict=True)]
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -184,26 +198,28 @@ def region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
-def left_out(parts: list[Token], weights: dict[str, float], a: int, b: int) -> set[int]:
-    """The tokens of [a, b) that stand in a dear element between words of the region."""
-    out: set[int] = set()
+def left_out(parts: list[Token], weights: dict[str, float], a: int, b: int) -> list[bool]:
+    """Which tokens stand in a dear element between words of the region [a, b)."""
     said = [i for i in range(a, b) if not parts[i].tag and parts[i].text.strip()]
-    for x, y in dear(parts, costs(parts, weights)):
-        if said and said[0] < x and y <= said[-1]:
-            out.update(range(x, y))
-    return out
+    spans = [(x, y) for x, y in dear(parts, costs(parts, weights)) if said and said[0] < x and y <= said[-1]]
+    return covered(spans, len(parts))
 
 
 def _around(parts: list[Token], at: int) -> set[str]:
     """The keys of the elements that are open at a token."""
     opened: list[Token] = []
+    count: Counter[str] = Counter()
     for t in parts[:at]:
         if t.tag and t.tag not in VOID:
             if not t.closing:
                 opened.append(t)
-            elif any(o.tag == t.tag for o in opened):
-                while opened.pop().tag != t.tag:
-                    pass
+                count[t.tag] += 1
+            elif count[t.tag]:
+                while True:
+                    o = opened.pop()
+                    count[o.tag] -= 1
+                    if o.tag == t.tag:
+                        break
     return {k for t in opened for k in t.keys}
 
 
@@ -248,7 +264,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     a, b = region(scores)
     gone = left_out(parts, weights, a, b)
     # Character references are decoded in each run of text; inline tags do not part words.
-    out = ["" if i in gone else unescape(t.text) if not t.tag else "" if t.tag in INLINE else "\n" for i, t in enumerate(parts[a:b], a)]
+    out = ["" if gone[i] else unescape(t.text) if not t.tag else "" if t.tag in INLINE else "\n" for i, t in enumerate(parts[a:b], a)]
     return " ".join("".join(out).split())
 
 

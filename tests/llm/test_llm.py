@@ -9,6 +9,7 @@ import io
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -858,6 +859,12 @@ def test_region_is_the_best_run(scores):
     assert sum(scores[a:b]) == best
 
 
+def test_deep_and_unclosed_markup_takes_no_square():
+    page = "<div class='x'>" * 60_000 + "<p>" + "word " * 5000 + "</p>" + "</span>" * 60_000 + "</div>" * 30_000
+    began = time.process_time()
+    assert html.main_text(page, {}) == ("word " * 5000).strip() and html.main_text(page, {"div.x": 0.5}) == "" and time.process_time() - began < 30
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-ap \"'&;=\n", max_size=60))
 def test_any_markup_is_read_to_its_end(page):
