@@ -23,19 +23,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    base.rest(spark)
     # SimHash's 2 bits miss most texts that are alike in 0.8 of their five-word shingles: of what it keeps, these go as well.
     return similar.first_of_each(base.materialise(simhash.first_of_each(docs)))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    base.rest(spark)
     return substring.cleaned(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    base.rest(spark)
     return decontaminate.clean(docs, base.read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    base.rest(spark)
     return packing.packed(docs, packing.tokenizer_path())
 
 
