@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import BROADCAST_BYTES, bounded, drop, made, mark, materialise, ready, released, scratch, size_of
 
-__all__ = ["BROADCAST_BYTES", "bounded", "crc32", "drop", "looked_up", "made", "mark", "materialise", "partitions", "prefix", "read", "ready", "released", "relieved", "scratch", "size_of", "slices"]
+__all__ = ["BROADCAST_BYTES", "bounded", "crc32", "drop", "looked_up", "made", "mark", "materialise", "partitions", "prefix", "read", "ready", "released", "relieved", "rest", "scratch", "size_of", "slices"]
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +58,13 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
         at = end
 
 
+def rest(spark: SparkSession) -> None:
+    """Ask executors for the heap that earlier stages used and nothing needs any more: a JVM keeps it, and what Python workers
+    take of an executor's memory comes on top. One short task for each core, between stages."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def relieve() -> None:
     """Give memory that a Python worker no longer uses back to its machine: workers are kept, and what one stage held would
     otherwise stand beside what the next one needs."""

@@ -37,10 +37,11 @@ from quarry.llm import base
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
-#: A chunk is what one Python call is given: so many for each shuffle partition, or more if they would have more than CHUNK_BYTES each.
+#: A chunk is what one Python call is given: so many for each shuffle partition, or more if they would have more than CHUNK_BYTES each. There is an
+#: owner for each shuffle partition, or more by OWNER_BYTES of text.
 CHUNKS, CHUNK_BYTES, OWNER_BYTES = 2, 16 << 20, 32 << 20
 #: Texts of a chunk are hashed in slices of about so many bytes, and hashes settled in ranges of about so many.
-SLICE, RANGE = 4 << 20, 1 << 19
+SLICE, RANGE = 2 << 20, 1 << 18
 _ODD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 

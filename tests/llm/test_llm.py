@@ -282,22 +282,6 @@ def test_similar_equals_brute_force(spark):
     assert not [1 for a, b in alike if a in kept and b in kept]
 
 
-def test_a_common_passage_makes_no_square(spark):
-    """Two hundred texts of which two thirds are one passage: only pairs that are near copies, or nearly, are compared."""
-    r, common, rows = random.Random(32), prose(120, 700), []
-    for i in range(200):
-        own = prose(60, 20_000 + i).split()
-        if i % 10 == 9:  # the text before it, changed a little: both are unlike the bucket's least
-            own = rows[-1][1].split()[120:]
-            own[r.randrange(60)] = "changed"
-        rows.append((i, common + " " + " ".join(own)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    some = spark.createDataFrame([(i, i) for i in range(200)], "a long, root long")
-    pairs = {(x.a, x.b) for x in similar._by_prefix(some, df, "text", "doc_id").collect()}
-    assert {(i, i - 1) for i in range(9, 200, 10)} <= pairs and len(pairs) < 60
-    assert {x.doc_id for x in similar.first_of_each(df).collect()} == {i for i in range(200) if i % 10 != 9}
-
-
 def test_similar_of_nothing(empty):
     assert similar.first_of_each(empty).count() == 0
 
