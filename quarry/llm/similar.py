@@ -3,8 +3,9 @@
 Two texts are near copies if the sets of their SHINGLE-word shingles have a Jaccard similarity of MIN_SIMILARITY or more.
 A text has BANDS hashes of ROWS minima each; texts that share one are candidates. At the limit a pair is a candidate with
 a chance of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996, above it with more. Of a bucket's members each is first verified against the least;
-then all pairs whose members are not connected yet. So every candidate pair is either verified or connected, and a large group of
-copies takes pairs in proportion to its size.
+then all pairs whose members are not connected yet. So every candidate pair is either verified or connected. A large group of
+copies that its least connects takes pairs in proportion to its size; one whose members are near each other but not near its least
+takes a pair for every two that share a bucket (see the README for what that costs).
 
 Defined cases: texts without words, and rows without a key, are no copies of anything; fewer than SHINGLE words make one shingle.
 """
