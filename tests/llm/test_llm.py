@@ -230,7 +230,7 @@ def test_owners_settle_pairs(spark):
     u = lambda *x: np.array(x, dtype="uint64")
     rows = [substring.request(c, (v << np.uint64(1)) | f, 63, 1, 1, x) for c, v, f, x in ((0, u(5, 8), u(0, 1), u(1, 4)), (1, u(5, 9), u(0, 0), u(1, 4)), (2, u(5, 9), u(0, 0), u(2, 5)))]
     df = spark.createDataFrame(pa.concat_tables(rows))
-    got = {r._x_chunk: (substring.decode(bytes(r.hashes), r.n).tolist(), np.frombuffer(bytes(r.seconds), dtype="<u8").tolist()) for r in substring.answers(df, 1, False).collect()}
+    got = {r._x_chunk: (substring.decode(bytes(r.hashes), r.n).tolist(), np.frombuffer(bytes(r.seconds), dtype="<u4").tolist()) for r in substring.answers(df, 1, False).collect()}
     assert got == {0: ([5, 8], [1, 4]), 1: ([5], [1])}
 
 
