@@ -80,7 +80,7 @@ def export_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, but for one package, to a ZIP archive, which is scanned again."""
     root = source_jars(spark, sf_dir)
-    export.export_classes(spark, [f"{root}/lib"], f"{root}/out.jar", deny="de", project=root, format="zip")
+    export.export_classes(spark, [f"{root}/lib"], f"{root}/out.jar", deny="de.*", project=root, format="zip")
     return artifacts.scan(spark, [f"{root}/out.jar"], project=root, content="false").select("origin", "name", "digest")
 
 

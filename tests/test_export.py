@@ -238,3 +238,18 @@ def test_failures_are_logged_up_to_a_limit(spark, caplog):
     caplog.clear()
     with caplog.at_level("DEBUG", logger="quarry"):
         assert report.logged(rows) == 20 and [r.levelname for r in caplog.records] == ["WARNING"] * 20 + ["DEBUG"] * 10
+
+
+def test_export_archive_denies_a_package_and_no_names(spark, tmp_path):
+    """Digests that begin with de are part of the classes' names: only the package de is denied."""
+    import duckdb
+
+    from quarry import queries
+
+    rows = [(i, f"text {n}", lang, "s") for i, (n, lang) in enumerate((n, lang) for n in (1, 203, 787) for lang in ("de", "en", "fr"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["export_archive"]).select("origin", "name", "digest").fetchall()
+    got = queries.QUERIES["export_archive"](spark, str(tmp_path)).select("origin", "name", "digest").collect()
+    assert len(want) == 6 and sorted(map(tuple, got)) == sorted(want)
