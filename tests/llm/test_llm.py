@@ -282,6 +282,63 @@ def test_similar_equals_brute_force(spark):
     assert not [1 for a, b in alike if a in kept and b in kept]
 
 
+def _components(keys, alike):
+    """Each key's least reachable key."""
+    root, n = {k: k for k in keys}, None
+    while n != (n := tuple(root.values())):
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def _five(t):
+    w = t.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("centre", [True, False])
+def test_large_groups_beyond_the_limit_take_few_pairs(spark, monkeypatch, centre):
+    """Copies of one text, with words of their own: most share buckets and are not within the limit of each other."""
+    r, own = random.Random(5), prose(150, 4242).split()
+    texts = [own] if centre else []
+    for i in range(240):
+        w = list(own)
+        for k in r.sample(range(0, 150, 5), r.randrange(4, 8)):
+            w[k] = f"own{i}x{k}"
+        texts.append(w)
+    for i in range(1, 40, 2):  # some are alike through words that they alone share
+        texts.append([*texts[i][:-1], "last"])
+    rows = [(i if centre else len(texts) - i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {i: _five(t) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    real, compared = similar._verified, []
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x.a, x.b) for x in similar.links(df).collect()]
+    assert set(got) <= set(alike) and _components(sets, got) == _components(sets, alike)
+    assert len(set(_components(sets, alike).values())) > 100 and sum(compared[1:]) < 4 * len(rows), compared
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_left_open_hold_all_near_copies(spark, seed):
+    """Also across sizes: one bucket of all texts, nothing connected."""
+    r, rows = random.Random(70 + seed), []
+    for g in range(12):
+        own = prose(r.choice((4, 5, 6, 9, 30, 90)), 70 + 50 * seed + g).split()
+        for _ in range(8):
+            w = list(own)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            rows.append((len(rows), " ".join(w[r.randrange(4) if len(w) > 20 else 0 : len(w) - r.randrange(5) if len(w) > 20 else None])))
+    rows += [(len(rows) + i, x[1]) for i, x in enumerate(rows[::9])]
+    sets = {i: _five(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bucket = df.selectExpr("0L as bucket", "doc_id as a", "doc_id as root")
+    got = {(x.a, x.b) for x in similar._open(bucket, df, "text", "doc_id").collect()}
+    assert want <= got and len(want) > 30 and len(got) < len(rows) ** 2 / 4
+
+
 def test_similar_of_nothing(empty):
     assert similar.first_of_each(empty).count() == 0
 
